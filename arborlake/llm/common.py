@@ -7,9 +7,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import arborlake
+
 #: The five white-space characters besides the blank that part words.
 OTHER_BLANKS = "\t\n\x0b\x0c\r"
 
@@ -100,3 +103,26 @@ def batches_by_bytes(texts: list, limit: int) -> Iterator[slice]:
             begin, size = i + 1, 0
     if begin < len(texts):
         yield slice(begin, len(texts))
+
+
+#: Bounds for what Spark hands to Python at once; texts can be long, so bytes count, not rows.
+ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
+
+
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with Arrow batches small enough for long texts.
+
+    The session's batch limits are lowered where they are larger; a batch holds one row at least.
+    Functions of this package travel with the plan, so executors need not have it installed.
+    """
+    cloudpickle.register_pickle_by_value(arborlake)
+    spark = df.sparkSession
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None)
+        try:
+            if now is None or not 0 < int(now) <= most:
+                spark.conf.set(key, str(most))
+        except ValueError:
+            spark.conf.set(key, str(most))
+    return df.mapInArrow(function, schema)
