@@ -126,3 +126,18 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
         except ValueError:
             spark.conf.set(key, str(most))
     return df.mapInArrow(function, schema)
+
+
+def worker_object(key: tuple, make):
+    """An object that a Python worker keeps for all its tasks, such as a tokenizer with its cache.
+
+    It is kept in a module of its own in ``sys.modules``, as functions that travel with a plan get
+    new globals for every task. It may only hold what any task would compute alike.
+    """
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_arborlake_worker", types.ModuleType("_arborlake_worker")).__dict__
+    if kept.get("key") != key:
+        kept["key"], kept["object"] = key, make()
+    return kept["object"]

@@ -21,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborlake.llm.common import map_arrow, small_table, written
+from arborlake.llm.common import map_arrow, small_table, worker_object, written
 
 MAGIC = b"ARP1"
 #: Defaults: ids of a part, rounds, new rules of a round, least count of a replaced pair.
 PART_IDS, ROUNDS, RULES_A_ROUND, LEAST = 1 << 20, 6, 1024, 8
 #: Pairs are counted in so many bins, a power of two.
 BINS = 1 << 18
-CACHE = 400_000
+CACHE = 800_000
+#: A control character that stands between words which are encoded together.
+MARK = "\x01"
 
 
 def _bin(keys: np.ndarray) -> np.ndarray:
@@ -49,10 +51,14 @@ def compress(ids: np.ndarray, terminals: int, rounds: int = ROUNDS, rules_a_roun
         owner[bins] = keys  # one pair of each bin stands for it in this round
         own = owner[bins] == keys
         counts = np.bincount(bins[own], minlength=BINS)
-        order = np.lexsort((owner, -counts))[:rules_a_round]
-        chosen = order[counts[order] >= least]
+        chosen = np.flatnonzero(counts >= least)
         if not len(chosen):
             break
+        if len(chosen) > rules_a_round:
+            floor = np.partition(counts[chosen], -rules_a_round)[-rules_a_round]
+            above = chosen[counts[chosen] > floor]
+            even = chosen[counts[chosen] == floor]
+            chosen = np.concatenate([above, even[: rules_a_round - len(above)]])
         rule = np.full(BINS, -1, np.int64)
         rule[chosen] = np.arange(len(chosen))
         hit = own & (rule[bins] >= 0)
@@ -167,25 +173,45 @@ class Encoder:
         self.by_word = split.get("type") == "Split" and split.get("invert") and split.get("behavior") == "Removed" and "\\s" in split["pattern"].get("Regex", "")
         self.terminals = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.cached: dict[str, bytes] = {}
+        self.mark_id = (self.tokenizer.encode(MARK, add_special_tokens=False).ids or [-1])[0]
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         """The ids of each text and ``end_id``, as little-endian unsigned 32-bit integers."""
         tail = struct.pack("<I", end_id)
-        ids = lambda e: struct.pack(f"<{len(e.ids)}I", *e.ids)
         # str.split parts at four control characters that the tokenizers' \s leaves alone.
         plain = [self.by_word and not any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
-        words = [t.split() if p else [t] for t, p in zip(texts, plain, strict=True)]
+        words = [t.split() if p else () for t, p in zip(texts, plain, strict=True)]
         if len(self.cached) > CACHE:
             self.cached.clear()
-        get, fresh = self.cached.get, {}
-        for own, p in zip(words, plain, strict=True):
-            if p:
-                fresh.update(dict.fromkeys(w for w in own if get(w) is None))
-        fresh = list(fresh)
+        get = self.cached.get
+        found = [list(map(get, own)) for own in words]
+        lacking = [i for i, own in enumerate(found) if None in own]
+        fresh = list(dict.fromkeys(w for i in lacking for w, x in zip(words[i], found[i], strict=True) if x is None))
         for i in range(0, len(fresh), 4096):
-            some = fresh[i : i + 4096]
-            self.cached.update(zip(some, map(ids, self.tokenizer.encode_batch(some, add_special_tokens=False)), strict=True))
-        return [b"".join(map(get, own)) + tail if p else ids(self.tokenizer.encode(own[0], add_special_tokens=False)) + tail for own, p in zip(words, plain, strict=True)]
+            self._learn(fresh[i : i + 4096])
+        for i in lacking:
+            found[i] = map(get, words[i])
+        return [b"".join(own) + tail if p else self._whole(t) + tail for t, own, p in zip(texts, found, plain, strict=True)]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Words are encoded as one text, with a mark between them that none of them holds."""
+        odd = [w for w in words if MARK in w]
+        for w in odd:
+            self.cached[w] = self._whole(w)
+        if odd:
+            words = [w for w in words if MARK not in w]
+        ids = np.array(self.tokenizer.encode(f" {MARK} ".join([*words, ""]), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(ids == self.mark_id)
+        if len(ends) != len(words):  # the mark is not an id of its own here
+            self.cached.update((w, self._whole(w)) for w in words)
+            return
+        raw, begin = ids.tobytes(), 0
+        for w, end in zip(words, (4 * ends).tolist(), strict=True):
+            self.cached[w] = raw[begin:end]
+            begin = end + 4
 
 
 def write_ids(
@@ -212,7 +238,7 @@ def write_ids(
     ordered = docs.select(id_col, text_col, F.xxhash64(text_col).alias("by")).repartitionByRange(sections, F.asc_nulls_first(id_col), "by").sortWithinPartitions(F.asc_nulls_first(id_col), "by")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = worker_object(("encoder", tokenizer), lambda: Encoder(tokenizer))
         names: list = []
         held: list[bytes] = []
         size = part = 0
