@@ -20,12 +20,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from arborlake.llm.common import map_arrow
+from arborlake.llm.common import map_arrow, worker_object
 
 #: Fixed value: the byte-level tokenizers' pattern for pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries that a worker keeps; then it starts anew.
-CACHE = 250_000
+#: Entries of each kind that a worker keeps; then it starts anew.
+CACHE = 600_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -48,18 +48,22 @@ class PrefixCounter:
         self.rank = {tuple(m): i for i, m in enumerate(m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])}
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.trie: dict = {}
+        self.tokens: list[str] = []
         for token in spec["model"]["vocab"]:
             if token in self.special:
                 continue
             node = self.trie
             for c in reversed(token):
                 node = node.setdefault(c, {})
-            node[""] = token
+            node[""] = len(self.tokens)
+            self.tokens.append(token)
         self.letters = byte_letters()
         self.find = regex.compile(PATTERN).findall
         self.units = regex.compile(r"\s*\S+|\s+").findall
         self.blank = regex.compile(r"\s").match
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.to_letters = {b: c for b, c in self.letters.items()}
+        self.pairs: dict[int, bool] = {}
+        self.pretokens: dict[str, bytes] = {}
         self.cached: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -72,49 +76,81 @@ class PrefixCounter:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
-    def _may_follow(self, a: str, b: str) -> bool:
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) > 2 * CACHE:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self._merge(a + b) == [a, b]
+    def _may_follow(self, a: int, b: int) -> bool:
+        if len(self.pairs) > 2 * CACHE:
+            self.pairs.clear()
+        one, other = self.tokens[a], self.tokens[b]
+        known = self.pairs[a << 20 | b] = self._merge(one + other) == [one, other]
         return known
 
+    def _learn(self, pretokens: list[str]) -> None:
+        """Counts of every prefix of each pre-token. In sorted order, a pre-token goes on from where
+        the one before it has the same beginning."""
+        if len(self.pretokens) > CACHE:
+            self.pretokens.clear()
+        trie, pairs, may_follow = self.trie, self.pairs, self._may_follow
+        coded = sorted((s.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.to_letters), s) for s in pretokens)
+        before, last, count = "", [-1], [0]
+        for w, s in coded:
+            same, most = 0, min(len(w), len(before))
+            while same < most and w[same] == before[same]:
+                same += 1
+            del last[same + 1 :], count[same + 1 :]
+            for i in range(same, len(w)):
+                node, j = trie, i
+                while True:
+                    node = node.get(w[j]) if j >= 0 else None
+                    if node is None:
+                        raise AssertionError("no token ends this prefix")
+                    token = node.get("")
+                    if token is not None:
+                        if not j:
+                            break
+                        known = pairs.get(last[j] << 20 | token)
+                        if known or known is None and may_follow(last[j], token):
+                            break
+                    j -= 1
+                last.append(token)
+                count.append(count[j] + 1)
+            before = w
+            if len(w) == len(s):
+                ends = np.array(count, np.int16)
+            else:
+                at = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in s])
+                ends = np.array(count, np.int16)[np.concatenate([[0], at])]
+            self.pretokens[s] = (ends[1:] - ends[:-1]).tobytes()
+
     def pretoken(self, s: str) -> list[int]:
         """Counts of one pre-token's prefixes, at its characters."""
-        raw = s.encode("utf-8", "surrogatepass")
-        letters = self.letters
-        w = [letters[b] for b in raw]
-        n = len(w)
-        last: list = [None] * (n + 1)
-        count = [0] * (n + 1)
-        for i in range(1, n + 1):
-            node, j = self.trie, i
-            while j:
-                j -= 1
-                node = node.get(w[j])
-                if node is None:
-                    raise AssertionError("no token ends this prefix")
-                token = node.get("")
-                if token is not None and (not j or self._may_follow(last[j], token)):
-                    last[i], count[i] = token, count[j] + 1
-                    break
-            else:
-                raise AssertionError("no token ends this prefix")
-        if n == len(s):
-            return count[1:]
-        ends, at = [], 0
-        for c in s:
-            o = ord(c)
-            at += 1 if o < 0x80 else 2 if o < 0x800 else 3 if o < 0x10000 else 4
-            ends.append(count[at])
-        return ends
+        if s not in self.pretokens:
+            self._learn([s])
+        return np.cumsum(np.frombuffer(self.pretokens[s], np.int16), dtype=np.int64).tolist()
 
     def unit(self, s: str) -> bytes:
         """Steps (int16) of the counts along a part that begins after a non-blank or at the start."""
+        found = self.find(s)
+        odd = False
+        before = False
+        for p in found:
+            blank = not p.strip()
+            odd |= p[0] == "'" and len(p) == 3 or before and self.blank(p) is not None
+            before = blank
+        if not odd:
+            fresh = [p for p in found if p not in self.pretokens]
+            if fresh:
+                self._learn(fresh)
+            return b"".join([self.pretokens[p] if p in self.pretokens else self._steps_of(p) for p in found])
+        return self._odd_unit(found)
+
+    def _steps_of(self, p: str) -> bytes:
+        self._learn([p])
+        return self.pretokens[p]
+
+    def _odd_unit(self, found: list[str]) -> bytes:
+        """A part in which a cut inside a pre-token changes the pre-tokens before the cut."""
         done: list[int] = []
         base, before, blank_at = 0, None, 0
-        for p in self.find(s):
+        for p in found:
             own = [base + c for c in self.pretoken(p)]
             whole = own[-1]
             if before is not None and self.blank(p):
@@ -127,6 +163,24 @@ class PrefixCounter:
             base = whole
         return np.diff(np.array([0, *done], np.int64)).astype(np.int16).tobytes()
 
+    def prepare(self, texts: list[str]) -> None:
+        """Learns what is new in a batch of texts at once; it changes no result, only the time."""
+        if len(self.pieces) > CACHE:
+            self.pieces.clear()
+        fresh: dict[str, None] = {}
+        for text in texts:
+            fresh.update(dict.fromkeys(text.split(" ")))
+        found = {piece: self.find(f" {piece}") for piece in fresh if piece not in self.pieces and piece and not self.blank(piece[-1])}
+        if len(self.pretokens) > CACHE:
+            self.pretokens.clear()
+        self._learn(list({p for own in found.values() for p in own} - self.pretokens.keys()))
+        pieces, get, blank = self.pieces, self.pretokens.__getitem__, self.blank
+        for piece, own in found.items():
+            if len(own) == 1 or "'" not in piece and not any(blank(p) and blank(p[-1]) for p in own):
+                pieces[piece] = b"".join(map(get, own))
+            else:
+                pieces[piece] = self.unit(f" {piece}")
+
     def _unit_cached(self, s: str) -> bytes:
         got = self.cached.get(s)
         if got is None:
@@ -141,8 +195,6 @@ class PrefixCounter:
         get = self.pieces.get
         steps = list(map(get, rest))
         if None in steps:
-            if len(self.pieces) > CACHE:
-                self.pieces.clear()
             for i, got in enumerate(steps):
                 if got is None:
                     piece = rest[i]
@@ -200,11 +252,12 @@ def prefix_token_counts(
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, fit_chars bigint" + ", prefix_steps binary" * store_prefixes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(tokenizer)
+        counter = worker_object(("prefix counter", tokenizer), lambda: PrefixCounter(tokenizer))
         for batch in batches:
             sizes, tokens, fits, kept = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            counter.prepare(texts)
+            for text in texts:
                 steps = counter.steps(text)
                 n = int(steps.sum(dtype=np.int64))
                 fit = len(text)
