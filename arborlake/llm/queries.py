@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.llm import decontaminate, mixing, prefix_tokens, quality, repair, sharding, toxicity
+from arborlake.llm import decontaminate, licenses, mixing, near_duplicates, prefix_tokens, quality, repair, sharding, toxicity
 
 SHARDS = 8
 
@@ -66,6 +66,15 @@ def op7_mixing_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op8_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("detections")
+
+
+def op9_probminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = near_duplicates.near_duplicate_classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return classes.select("doc_id", "class_id", "class_size", "n_links", "stays")
+
+
 def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     counts = prefix_tokens.prefix_token_counts(docs, tokenizer_path("byte_bpe_50k.json"), budget=1024, store_prefixes=False)
@@ -79,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_mixing_flow": op7_mixing_flow,
+    "op8_license_signatures": op8_license_signatures,
+    "op9_probminhash_near_duplicates": op9_probminhash_near_duplicates,
     "op10_prefix_token_counts": op10_prefix_token_counts,
 }
 
