@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.llm import decontaminate, licenses, mixing, near_duplicates, prefix_tokens, quality, repair, sharding, toxicity
+from arborlake.llm import decontaminate, html_extract, licenses, mixing, near_duplicates, prefix_tokens, quality, repair, sharding, toxicity
 
 SHARDS = 8
 
@@ -38,6 +38,10 @@ def op2_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return repair.read_ids(repair.write_ids(docs, tokenizer_path("word_bpe_49k.json")))
@@ -84,6 +88,7 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_cnn": op1_toxicity_cnn,
     "op2_hypergeometric_sharding": op2_hypergeometric_sharding,
+    "op3_site_style_tree": op3_site_style_tree,
     "op4_repair_token_files": op4_repair_token_files,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_quality_rules": op6_quality_rules,
