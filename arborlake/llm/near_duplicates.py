@@ -223,8 +223,10 @@ def _links(signed: DataFrame, nodes: DataFrame, threshold: tuple[int, int], roun
         left = others.join(both, ["rid", "b"], "left").withColumn("open", F.col("open") & F.col("ok").isNull()).select("rid", "n", "key", "rank", "open", "top")
         turn += 1
         if turn % rounds == 0:
+            left = left.where("open")
+            left = left.join(left.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "key")
             further = met.select("rid", F.col("key").alias("next"))
-            left = left.where("open").join(further, "rid").where("next > top")
+            left = left.join(further, "rid").where("next > top")
             left = left.select("rid", "n", F.xxhash64("key", "next").alias("key"), "rank", "open", F.col("next").alias("top"))
         still = left.groupBy("key").agg(F.max("open").alias("some"), F.count("*").alias("m")).where("some and m > 1")
         waiting = written(left.join(still.select("key"), "key").select("rid", "n", "key", "rank", "open", "top"), "near-buckets")
