@@ -40,6 +40,7 @@ class Scanner:
                 by_keyword.setdefault(k, []).append(i)
         for k, own in by_keyword.items():
             self.automaton.add_word(k, own)
+        self.automaton.add_word("\x00", [])  # an automaton needs a word
         self.automaton.make_automaton()
         self.blanks = re.compile(r"[\s]+(?:[*#;/]+[\s]+)*")
         phrases = sorted(BASE)
