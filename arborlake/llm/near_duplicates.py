@@ -18,6 +18,7 @@ Classes are the connected components of the accepted links.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.llm.common import free_name, map_arrow, word_bytes, written
+from arborlake.llm.common import free_name, map_arrow, shared_folder, word_bytes, written
 
 SHINGLE, BANDS, BAND_SLOTS = 5, 50, 7
 SLOTS = BANDS * BAND_SLOTS
@@ -161,7 +162,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         parents = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("parent")), "component-parents")
         while True:
             up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-            parents = written(parents.join(up, "parent").select("node", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved")), "component-parents")
+            twice = parents.join(up, "parent").select("node", F.col("above").alias("parent"))
+            top = twice.join(up, "parent").select("node", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved"))
+            parents = written(top, "component-parents")
             if not parents.where("moved").take(1):
                 break
         map_ = parents.select(F.col("node").alias("root"), F.col("parent").alias("top"))
@@ -203,34 +206,33 @@ def _links(signed: DataFrame, nodes: DataFrame, threshold: tuple[int, int], roun
     waiting = written(waiting, "near-buckets")
 
     num, den = threshold
-    links: DataFrame | None = None
-    compared: DataFrame | None = None
+    folder = f"{shared_folder(signed.sparkSession)}/near-links-{uuid.uuid4().hex}"
     turn = 0
-    while links is None or waiting.take(1):
+    while not turn or waiting.take(1):
         order = F.struct("rank", -F.col("rid"))
         hub = F.max_by(F.struct("rid", "n"), F.when(F.col("open"), order))
         hubs = waiting.groupBy("key").agg(hub.alias("hub")).select("key", F.col("hub.rid").alias("b"), F.col("hub.n").alias("n_b"))
         others = waiting.join(hubs, "key").where("rid <> b")
         fits = (F.col("n") * den >= num * F.col("n_b")) & (F.col("n_b") * den >= num * F.col("n"))
-        fresh = others.where(fits).select(F.least("rid", "b").alias("a"), F.greatest("rid", "b").alias("b")).distinct()
-        if compared is not None:
-            fresh = fresh.join(compared, ["a", "b"], "left_anti")
-        fresh = written(fresh, "near-pairs")
-        good = written(_verified(fresh, sets, threshold), "near-links")
-        links = good if links is None else links.union(good)
-        compared = fresh if compared is None else compared.union(fresh)
-        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("rid"), "b", F.lit(True).alias("ok"))
+        pairs = others.where(fits).select(F.least("rid", "b").alias("a"), F.greatest("rid", "b").alias("b")).distinct()
+        good = _verified(pairs, sets, threshold)
+        good.write.parquet(f"{folder}/turn={turn}")
+        good = good.sparkSession.read.schema(good.schema).parquet(f"{folder}/turn={turn}")
+        both = good.union(good.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("rid"), "b", F.lit(True).alias("ok"))
         left = others.join(both, ["rid", "b"], "left").withColumn("open", F.col("open") & F.col("ok").isNull()).select("rid", "n", "key", "rank", "open", "top")
         turn += 1
         if turn % rounds == 0:
             left = left.where("open")
             left = left.join(left.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "key")
-            further = met.select("rid", F.col("key").alias("next"))
-            left = left.join(further, "rid").where("next > top")
-            left = left.select("rid", "n", F.xxhash64("key", "next").alias("key"), "rank", "open", F.col("next").alias("top"))
+            # Only buckets in which two of the unsettled nodes meet can hold a pair of them.
+            further = met.select("rid", F.col("key").alias("next")).join(left.select("rid").distinct(), "rid", "left_semi")
+            meeting = further.groupBy("next").agg(F.count("*").alias("m")).where("m > 1").select("next")
+            left = left.join(further.join(meeting, "next"), "rid").where("next > top")
+            left = written(left.select("rid", "n", F.xxhash64("key", "next").alias("key"), "rank", "open", F.col("next").alias("top")), "near-refined")
         still = left.groupBy("key").agg(F.max("open").alias("some"), F.count("*").alias("m")).where("some and m > 1")
         waiting = written(left.join(still.select("key"), "key").select("rid", "n", "key", "rank", "open", "top"), "near-buckets")
-    return links
+    every = good.sparkSession.read.schema("a bigint, b bigint, turn int").parquet(folder)
+    return written(every.select("a", "b").distinct(), "near-links")
 
 
 def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (4, 5)) -> DataFrame:
