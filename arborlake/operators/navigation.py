@@ -104,7 +104,6 @@ def largest(nodes: DataFrame, k: int, by: str = "total_bytes", depth: int | None
 def broken_ranges(nodes: DataFrame) -> DataFrame:
     """Nodes that break an invariant: a position beyond the subtree's end, a range outside the table, a
     depth that isn't the number of slashes, or a subtree shallower than its root. Empty if all is well."""
-    size = nodes.agg(F.count("*").alias("n"))
-    joined = nodes.join(F.broadcast(size), F.col("pos") >= 0, "left")
-    wrong = (F.col("pos") > F.col("subtree_end")) | (F.col("subtree_end") >= F.col("n")) | (F.col("depth") != prefix_depth(F.col("prefix"))) | (F.col("max_depth_in_subtree") < F.col("depth"))
-    return joined.where(F.coalesce(wrong, F.lit(True))).drop("n")
+    size = nodes.count()
+    wrong = (F.col("pos") > F.col("subtree_end")) | (F.col("subtree_end") >= size) | (F.col("depth") != prefix_depth(F.col("prefix"))) | (F.col("max_depth_in_subtree") < F.col("depth"))
+    return nodes.where(F.coalesce(wrong, F.lit(True)))

@@ -140,9 +140,9 @@ QUERIES: dict[str, Query] = {
     "descendants_up_to": _with_nodes(lambda n: nav.descendants_up_to(n, "A/", 2).select("prefix", "depth", "rel_depth", "object_count")),
     "descendants_all": _with_nodes(lambda n: _slim(nav.all_descendants(n, PREFIX))),
     "nodes_at_depth": _with_nodes(lambda n: _slim(nav.at_depth(n, 3))),
-    "children_min_count": _with_nodes(lambda n: _slim(nav.descendants_at(n, "", 3, min_count=500))),
-    "children_min_bytes": _with_nodes(lambda n: _slim(nav.descendants_at(n, "", 3, min_bytes=60_000_000))),
-    "children_min_both": _with_nodes(lambda n: _slim(nav.descendants_at(n, "", 3, min_count=500, min_bytes=60_000_000))),
+    "children_min_count": _with_nodes(lambda n: _slim(nav.descendants_at(n, "", 3, min_count=1440))),
+    "children_min_bytes": _with_nodes(lambda n: _slim(nav.descendants_at(n, "", 3, min_bytes=150_000_000))),
+    "children_min_both": _with_nodes(lambda n: _slim(nav.descendants_at(n, "", 3, min_count=1440, min_bytes=150_000_000))),
     "largest_prefixes": _with_nodes(lambda n: _slim(nav.largest(n, 10, depth=4))),
     "tier_breakdown": lambda s, d: tb.breakdown(_tiers(s, d)),
     "tier_breakdown_all": lambda s, d: (lambda n: tb.breakdown_present(n, nav.lookup(n, PREFIX)))(_tiers(s, d)),
@@ -253,9 +253,9 @@ ORACLES: dict[str, str] = {
     "descendants_up_to": f"{_TREE} select prefix, depth, depth - 1 as rel_depth, object_count from p where depth between 2 and 3 and starts_with(prefix, 'A/')",
     "descendants_all": f"{_TREE} {_SLIM} where prefix <> '{PREFIX}' and starts_with(prefix, '{PREFIX}')",
     "nodes_at_depth": f"{_TREE} {_SLIM} where depth = 3",
-    "children_min_count": f"{_TREE} {_SLIM} where depth = 3 and object_count >= 500",
-    "children_min_bytes": f"{_TREE} {_SLIM} where depth = 3 and total_bytes >= 60000000",
-    "children_min_both": f"{_TREE} {_SLIM} where depth = 3 and object_count >= 500 and total_bytes >= 60000000",
+    "children_min_count": f"{_TREE} {_SLIM} where depth = 3 and object_count >= 1440",
+    "children_min_bytes": f"{_TREE} {_SLIM} where depth = 3 and total_bytes >= 150000000",
+    "children_min_both": f"{_TREE} {_SLIM} where depth = 3 and object_count >= 1440 and total_bytes >= 150000000",
     "largest_prefixes": f"{_TREE} {_SLIM} where depth = 4 order by total_bytes desc, prefix limit 10",
     "tier_breakdown": f"{_breakdown()} select prefix, tier_id, tier_name, object_count, bytes from b",
     "tier_breakdown_all": f"{_breakdown()}, r as (select distinct tier_id, tier_name from b) select '{PREFIX}' as prefix, r.tier_id, r.tier_name, coalesce(object_count, 0) as object_count, coalesce(bytes, 0) as bytes from r left join (select * from b where prefix = '{PREFIX}') b using (tier_id)",
