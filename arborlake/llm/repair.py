@@ -173,6 +173,10 @@ class Encoder:
         self.by_word = split.get("type") == "Split" and split.get("invert") and split.get("behavior") == "Removed" and "\\s" in split["pattern"].get("Regex", "")
         self.terminals = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.cached: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.is_end = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.is_end[[i for token, i in vocab.items() if token.endswith(spec["model"].get("end_of_word_suffix") or "\n")]] = True
+        self.marks = {m: self._whole(m) for m in ".,"}
         self.mark_id = (self.tokenizer.encode(MARK, add_special_tokens=False).ids or [-1])[0]
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
@@ -197,21 +201,45 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        """Words are encoded as one text, with a mark between them that none of them holds."""
-        odd = [w for w in words if MARK in w]
-        for w in odd:
-            self.cached[w] = self._whole(w)
+        """Encodes new words together. Of most words only the letters are new: a full stop or a comma
+        behind them is a pre-token of its own, and ASCII capitals encode as small letters do."""
+        cached, odd, cores = self.cached, [], {}
+        for w in words:
+            tail = w[-1] if w[-1] in self.marks else ""
+            core = w[: len(w) - len(tail)]
+            if core.isalpha():
+                cores[w] = (core.lower() if core.isascii() else core, tail)
+            else:
+                odd.append(w)
+        fresh = list(dict.fromkeys(core for core, _ in cores.values() if core not in cached))
+        if fresh:
+            ids = np.array(self.tokenizer.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) == len(fresh):  # each word is one pre-token
+                self._cut(fresh, ids, ends, ends)
+            else:
+                self._learn_marked(fresh)
+        for w, (core, tail) in cores.items():
+            cached[w] = cached[core] + self.marks[tail] if tail else cached[core]
         if odd:
-            words = [w for w in words if MARK not in w]
-        ids = np.array(self.tokenizer.encode(f" {MARK} ".join([*words, ""]), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(ids == self.mark_id)
-        if len(ends) != len(words):  # the mark is not an id of its own here
-            self.cached.update((w, self._whole(w)) for w in words)
-            return
+            self._learn_marked(odd)
+
+    def _cut(self, words: list[str], ids: np.ndarray, ends: np.ndarray, nexts: np.ndarray) -> None:
         raw, begin = ids.tobytes(), 0
-        for w, end in zip(words, (4 * ends).tolist(), strict=True):
+        for w, end, following in zip(words, (4 * ends).tolist(), (4 * nexts).tolist(), strict=True):
             self.cached[w] = raw[begin:end]
-            begin = end + 4
+            begin = following
+
+    def _learn_marked(self, words: list[str]) -> None:
+        """Words of any letters, encoded as one text with a mark between them that none of them holds."""
+        plain = [w for w in words if MARK not in w]
+        ids = np.array(self.tokenizer.encode(f" {MARK} ".join([*plain, ""]), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(ids == self.mark_id)
+        if len(ends) == len(plain):
+            self._cut(plain, ids, ends, ends + 1)
+        else:  # the mark is not an id of its own here
+            plain = []
+        self.cached.update((w, self._whole(w)) for w in {*words} - {*plain})
 
 
 def write_ids(
