@@ -96,7 +96,7 @@ def summary(nodes: DataFrame) -> DataFrame:
 
 
 def largest(nodes: DataFrame, k: int, by: str = "total_bytes", depth: int | None = None) -> DataFrame:
-    """The ``k`` largest nodes, of one depth if given; beyond what the original index offers."""
+    """The ``k`` largest nodes, of one depth if given; ties go by prefix."""
     nodes = nodes if depth is None else at_depth(nodes, depth)
     return nodes.orderBy(F.desc(by), "prefix").limit(k)
 
