@@ -6,12 +6,11 @@ slot keeps the element that arrived first. An element is dropped as soon as its
 than every slot's first. Two texts agree in a slot with probability equal to their probability Jaccard
 similarity (Ertl 2020). Slots are cut into bands; texts that agree in a band meet in a bucket.
 
-Buckets are never expanded into pairs. Texts of equal shingle sets are one node. In each round every
-bucket names one hub, of its unsettled nodes the one that shares most buckets with others, and all its
-nodes are compared with the hub, exactly, on their shingle sets. Nodes that a hub accepts are settled.
-What two rounds leave unsettled is refined: nodes stay together if they share a further bucket, and the
-rounds go on in these smaller buckets until none has two unsettled nodes. (With 50 bands of 7 slots two
-texts of similarity 0.8 share at least one bucket with probability 0.99999 and at least two with 0.9999.)
+Texts of equal shingle sets are one node. In three rounds every bucket names one hub of its unsettled
+nodes, and all its nodes, settled or not, are compared with the hub, exactly, on their shingle sets.
+Nodes that a hub accepts are settled. Then the accepted links are followed, and in every bucket all pairs
+of nodes that are not joined yet are compared too. So the classes are those of all pairs that meet in a
+bucket, while nodes that are joined already, such as a large group of copies, are never paired.
 Classes are the connected components of the accepted links.
 """
 
@@ -33,6 +32,8 @@ SLOTS = BANDS * BAND_SLOTS
 CACHE = 250_000
 #: Bits of the map of nodes that take part in a round; fixed, so that it may be broadcast.
 MAP_BITS = 1 << 21
+#: Nodes of a bucket that one task pairs at a time with those outside of the bucket's main component.
+BLOCK = 2_048
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -195,21 +196,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) ->
     return both.where(F.col("common") * den >= num * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
 
-def _links(signed: DataFrame, nodes: DataFrame, threshold: tuple[int, int], rounds: int = 2) -> DataFrame:
-    """Verified links (a, b) between nodes (rid, n, bands)."""
+def _links(signed: DataFrame, nodes: DataFrame, threshold: tuple[int, int], rounds: int = 3) -> DataFrame:
+    """Verified links (a, b) between nodes (rid, n, bands). Their components are those of all pairs of
+    nodes that share a bucket and reach the threshold."""
     entries = nodes.select("rid", "n", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     met = written(entries.join(shared, "key"), "near-buckets")
     sets = written(_taking_part(signed.select("rid", "n", "shingles"), met.select("rid")), "near-sets")
     rank = met.groupBy("rid").agg(F.sum("m").alias("rank"))
-    waiting = met.select("rid", "n", "key").join(rank, "rid").withColumn("open", F.lit(True)).withColumn("top", F.col("key"))
-    waiting = written(waiting, "near-buckets")
+    waiting = written(met.select("rid", "n", "key").join(rank, "rid").withColumn("open", F.lit(True)), "near-buckets")
 
     num, den = threshold
     folder = f"{shared_folder(signed.sparkSession)}/near-links-{uuid.uuid4().hex}"
-    turn = 0
-    while not turn or waiting.take(1):
-        order = F.struct("rank", -F.col("rid"))
+    for turn in range(rounds):
+        # Later hubs differ from bucket to bucket, so that a node meets many of them.
+        order = F.struct("rank", -F.col("rid")) if not turn else F.struct(F.xxhash64("key", "rid"), -F.col("rid"))
         hub = F.max_by(F.struct("rid", "n"), F.when(F.col("open"), order))
         hubs = waiting.groupBy("key").agg(hub.alias("hub")).select("key", F.col("hub.rid").alias("b"), F.col("hub.n").alias("n_b"))
         others = waiting.join(hubs, "key").where("rid <> b")
@@ -218,21 +219,39 @@ def _links(signed: DataFrame, nodes: DataFrame, threshold: tuple[int, int], roun
         good = _verified(pairs, sets, threshold)
         good.write.parquet(f"{folder}/turn={turn}")
         good = good.sparkSession.read.schema(good.schema).parquet(f"{folder}/turn={turn}")
+        if turn + 1 == rounds:
+            break
         both = good.union(good.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("rid"), "b", F.lit(True).alias("ok"))
-        left = others.join(both, ["rid", "b"], "left").withColumn("open", F.col("open") & F.col("ok").isNull()).select("rid", "n", "key", "rank", "open", "top")
-        turn += 1
-        if turn % rounds == 0:
-            left = left.where("open")
-            left = left.join(left.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "key")
-            # Only buckets in which two of the unsettled nodes meet can hold a pair of them.
-            further = met.select("rid", F.col("key").alias("next")).join(left.select("rid").distinct(), "rid", "left_semi")
-            meeting = further.groupBy("next").agg(F.count("*").alias("m")).where("m > 1").select("next")
-            left = left.join(further.join(meeting, "next"), "rid").where("next > top")
-            left = written(left.select("rid", "n", F.xxhash64("key", "next").alias("key"), "rank", "open", F.col("next").alias("top")), "near-refined")
+        left = others.join(both, ["rid", "b"], "left").withColumn("open", F.col("open") & F.col("ok").isNull()).select("rid", "n", "key", "rank", "open")
         still = left.groupBy("key").agg(F.max("open").alias("some"), F.count("*").alias("m")).where("some and m > 1")
-        waiting = written(left.join(still.select("key"), "key").select("rid", "n", "key", "rank", "open", "top"), "near-buckets")
-    every = good.sparkSession.read.schema("a bigint, b bigint, turn int").parquet(folder)
-    return written(every.select("a", "b").distinct(), "near-links")
+        waiting = written(left.join(still.select("key"), "key"), "near-buckets")
+        if not waiting.take(1):
+            break
+
+    read = signed.sparkSession.read.schema("a bigint, b bigint, turn int")
+    hub_links = read.parquet(folder).select("a", "b").distinct()
+    _verified(_apart(met, hub_links, threshold), sets, threshold).write.parquet(f"{folder}/turn={rounds}")
+    return written(read.parquet(folder).select("a", "b").distinct(), "near-links")
+
+
+def _apart(met: DataFrame, links: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of nodes that share a bucket, are of fitting sizes and that ``links`` do not join yet,
+    however indirectly. A bucket's largest component isn't paired with itself, so that only what lies
+    outside of it meets all nodes, in blocks."""
+    num, den = threshold
+    roots = connected_components(links).select(F.col("node").alias("rid"), "root")
+    entries = met.select("rid", "n", "key", "m").join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    parts = entries.groupBy("key", "root").agg(F.count("*").alias("k"))
+    parts = parts.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
+    entries = written(entries.join(parts, "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")), "near-apart")
+    minor = entries.where("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    minor = minor.select("key", "block", F.col("rid").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"))
+    every = entries.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    fits = (F.col("n") * den >= num * F.col("n_x")) & (F.col("n_x") * den >= num * F.col("n"))
+    once = (F.col("root") == F.col("main")) | (F.col("x") < F.col("rid"))
+    same = (minor["key"] == every["key"]) & (minor["block"] == every["block"])
+    pairs = minor.join(every, same & (F.col("root") != F.col("root_x")) & once & fits)
+    return written(pairs.select(F.least("x", "rid").alias("a"), F.greatest("x", "rid").alias("b")).distinct(), "near-pairs")
 
 
 def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (4, 5)) -> DataFrame:

@@ -104,3 +104,19 @@ def test_odd_rows(spark, docs, clashing, empty):
     assert kept.where("doc_id = 9001").count() == 1 and kept.where("doc_id is null").count() == 1
     assert kept.count() == len(brute(rows))
     assert near_duplicate_classes(empty).count() == 0 and without_near_duplicates(empty).count() == 0
+
+
+def test_dense_group_without_its_centre(spark):
+    rng = random.Random(4)
+    rows = []
+    for g in range(4):
+        base = [f"g{g}w{i}" for i in range(100)]
+        for _ in range(300):
+            own = list(base)
+            for at in rng.sample(range(100), rng.choice([1, 2])):
+                own[at] = f"s{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(own)))
+    groups = {}
+    for r in near_duplicate_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        groups.setdefault(r["class_id"], []).append(r["doc_id"])
+    assert sorted(sorted(map(str, g)) for g in groups.values()) == brute(rows)
