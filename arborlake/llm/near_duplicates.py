@@ -1,10 +1,13 @@
 """Near-duplicate classes by ProbMinHash signatures, banding and exact verification.
 
-A text is a weighted set of five-word shingles (weight 1 + ln of the shingle's count). Each element
+A text is the set of its five-word shingles, each of weight 1 however often it occurs, as links are
+verified on plain sets: with weights by count, pairs that repeat shingles would meet too seldom. Each element
 arrives at the times of a Poisson process whose rate is its weight, each arrival at a random slot; a
 slot keeps the element that arrived first. An element is dropped as soon as its next arrival is later
 than every slot's first. Two texts agree in a slot with probability equal to their probability Jaccard
-similarity (Ertl 2020). Slots are cut into bands; texts that agree in a band meet in a bucket.
+similarity (Ertl 2020), with equal weights the plain Jaccard similarity. Slots are cut into bands; texts
+that agree in a band meet in a bucket: with 50 bands of 7 slots, two texts of similarity 0.8 do with
+probability 0.99999.
 
 Texts of equal shingle sets are one node. In three rounds every bucket names one hub of its unsettled
 nodes, and all its nodes, settled or not, are compared with the hub, exactly, on their shingle sets.
@@ -127,7 +130,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         shingler = Shingler()
         for batch in batches:
             sets = [shingler.shingles(t) for t in batch.column(3).to_pylist()]
-            keys = band_keys(prob_min_hash([e for e, _ in sets], [1 + np.log(c) for _, c in sets]))
+            keys = band_keys(prob_min_hash([e for e, _ in sets], [np.ones(len(e)) for e, _ in sets]))
             digests = [hashlib.blake2b(e.tobytes(), digest_size=16).digest() if len(e) else None for e, _ in sets]
             short = [np.unique((e >> np.uint64(32)).astype(np.uint32)).view(np.int32) for e, _ in sets]
             bands = [k if len(e) else k[:0] for k, (e, _) in zip(keys, sets, strict=True)]

@@ -120,3 +120,14 @@ def test_dense_group_without_its_centre(spark):
     for r in near_duplicate_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
         groups.setdefault(r["class_id"], []).append(r["doc_id"])
     assert sorted(sorted(map(str, g)) for g in groups.values()) == brute(rows)
+
+
+def test_repeated_shingles_do_not_part_alike_sets(spark):
+    rows = []
+    for g in range(40):
+        base = [f"g{g}w{i}" for i in range(100)]
+        more = " ".join(f"g{g}m{i}" for i in range(16))
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join([*base, *[more] * 40]))]
+    assert all(shingles(a[1]) < shingles(b[1]) and 5 * len(shingles(a[1])) >= 4 * len(shingles(b[1])) for a, b in zip(rows[::2], rows[1::2], strict=True))
+    got = near_duplicate_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert all(r["class_size"] == 2 and r["class_id"] == r["doc_id"] // 2 * 2 for r in got)
