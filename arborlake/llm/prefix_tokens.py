@@ -114,11 +114,11 @@ class PrefixCounter:
                 count.append(count[j] + 1)
             before = w
             if len(w) == len(s):
-                ends = np.array(count, np.int16)
+                ends = np.array(count, np.int64)
             else:
                 at = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in s])
-                ends = np.array(count, np.int16)[np.concatenate([[0], at])]
-            self.pretokens[s] = (ends[1:] - ends[:-1]).tobytes()
+                ends = np.array(count, np.int64)[np.concatenate([[0], at])]
+            self.pretokens[s] = (ends[1:] - ends[:-1]).astype(np.int16).tobytes()
 
     def pretoken(self, s: str) -> list[int]:
         """Counts of one pre-token's prefixes, at its characters."""

@@ -40,6 +40,16 @@ def test_every_prefix(library, counter):
     assert [fresh.count(t) for t in ODD] == [counter.count(t) for t in ODD]
 
 
+@pytest.mark.parametrize("kind", ["blanks", "letters", "cjk"])
+def test_pretokens_of_over_40000_tokens(library, counter, kind):
+    rng = random.Random(6)
+    text = {"blanks": " " * 50_000, "letters": "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(90_000)), "cjk": "".join(chr(rng.randrange(0x3400, 0x4DB0)) for _ in range(20_000))}[kind]
+    want = len(library.encode(text, add_special_tokens=False).ids)
+    assert want > 40_000 and counter.count(text) == want
+    for k in (100, len(text) // 2, len(text) - 1):
+        assert int(counter.steps(text)[:k].sum(dtype=np.int64)) == len(library.encode(text[:k], add_special_tokens=False).ids)
+
+
 def test_prefix_operator(spark, docs, clashing, empty, library):
     got = pt.prefix_token_counts(docs, BYTES, budget=20).collect()
     assert len(got) == docs.count()
