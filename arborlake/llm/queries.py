@@ -32,10 +32,10 @@ def op1_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = sharding.shuffle_into_shards(docs, SHARDS)
     text = F.coalesce(F.col("text"), F.lit(""))
-    digest = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    out = sharding.shuffle_into_shards(digest.withColumn("digest", F.concat_ws(":", "size", "text_crc32")), SHARDS, text_col="digest")
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    digest = [(F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")]
+    return out.select("doc_id", *digest, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op3_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import math
 import random
+import zlib
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -62,3 +63,13 @@ def test_order_is_uniform(spark):
     place = [s * 100 + k for _, _, s, k in rows]
     ups = sum(a < b for a, b in zip(place, place[1:], strict=False))
     assert 360 < ups < 440
+
+
+def test_query_shards_whole_documents(spark, docs, tmp_path):
+    from arborlake.llm.queries import op2_hypergeometric_sharding
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = op2_hypergeometric_sharding(spark, str(tmp_path))
+    rows = [(r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in out.collect()]
+    want = [(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), s, k) for i, t, s, k in placed(docs.select("doc_id", "text"))]
+    assert sorted(map(str, rows)) == sorted(map(str, want))
