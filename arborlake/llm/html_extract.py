@@ -33,6 +33,9 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 NOISE = frozenset("head title script style noscript template iframe object svg canvas audio video nav menu footer aside form button select option textarea input label fieldset dialog".split())
 ENDS_P = BLOCK - {"html", "body"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements beyond which a start tag ends no paragraph, and an end tag inside what is skipped closes nothing.
+SCOPE = frozenset({"button", "object", "template"})
+END_SCOPE = {"p": ENDS_P - {"p"}, "li": {"ul", "ol", "menu"}, **dict.fromkeys(("tr", "td", "th", "tbody", "thead", "tfoot"), {"table"})}
 #: Words in class, id and role that name what isn't the article.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promotions banner nav navbar navigation menu menus breadcrumb breadcrumbs footer contentinfo sidebar sidebars aside complementary comment comments commentlist reply replies respond disqus cookie cookies consent gdpr notice notices notification notifications alert alerts popup popups modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations trending widget widgets toolbar pagination pager search skip masthead".split()
@@ -48,10 +51,10 @@ def _hash(text: str) -> int:
 
 
 class _Node:
-    __slots__ = ("article", "children", "path", "shown", "tag")
+    __slots__ = ("article", "by_name", "children", "path", "shown", "skipped", "tag")
 
-    def __init__(self, tag: str, path: str, article: bool) -> None:
-        self.tag, self.path, self.article = tag, path, article
+    def __init__(self, tag: str, path: str, article: bool, skipped: bool = False, by_name: bool = False) -> None:
+        self.tag, self.path, self.article, self.skipped, self.by_name = tag, path, article, skipped, by_name
         self.shown: list[str] = []
 
 
@@ -59,7 +62,8 @@ class PageParser(HTMLParser):
     """One page as blocks ``(in an article, path hash, text)`` and tree rows ``(path hash, kind, feature)``.
 
     Unclosed and misnested elements are closed as browsers do for the common cases: a block element ends
-    an open paragraph, items end items of their kind, and an end tag closes what is open inside it.
+    an open paragraph, items end items of their kind, and an end tag closes what is open inside it. Skipped
+    elements lie on the same stack and are closed by the same rules.
     """
 
     CDATA_CONTENT_ELEMENTS = ("script", "style")
@@ -67,8 +71,6 @@ class PageParser(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[_Node] = [_Node("", "", False)]
-        self.skip: list[str] = []
-        self.by_name = False
         self.blocks: list[tuple[bool, int, str]] = []
         self.rows: set[tuple[int, int, int]] = set()
         self.text: list[str] = []
@@ -86,6 +88,8 @@ class PageParser(HTMLParser):
     def _close(self, depth: int) -> None:
         while len(self.open) > depth:
             node = self.open.pop()
+            if node.skipped:
+                continue
             if node.tag in BLOCK:
                 self._flush()
                 self.rows.add((_hash(node.path), 0, _hash(" ".join(node.shown))))
@@ -97,21 +101,26 @@ class PageParser(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         names = {w for k, v in attrs if k in ("class", "id", "role") and v for w in PART.split(v.lower())}
         named = bool(names & NAMES) and not names & KEEPS and tag not in ("html", "body", "main")
-        if self.skip and self.by_name and not named and (tag == "main" or tag == "article" and not any(b[0] for b in self.blocks)):
-            self.skip.clear()  # a wrapper that is named after what it also holds
-        if self.skip:
-            if tag == self.skip[-1] and tag not in VOID:
-                self.skip.append(tag)
-            elif self.skip[0] == "head" and tag in ("body", "article", "main", "div", "p", "h1"):
-                self.skip.clear()  # a head that was never closed
-            if self.skip:
-                return
+        if self.open[-1].skipped:
+            depth = next(i for i, n in enumerate(self.open) if n.skipped)
+            outer = self.open[depth]
+            if outer.by_name and not named and (tag == "main" or tag == "article" and not any(b[0] for b in self.blocks)):
+                self._flush()
+                for node in self.open[depth:]:
+                    node.skipped = False  # a wrapper that is named after what it also holds
+                self._hold()
+            elif outer.tag == "head" and tag in ("body", "article", "main", "div", "p", "h1"):
+                self._close(depth)  # a head that was never closed
         if tag in ENDS_P:
-            self._end_open("p", ENDS_P - {"p"})
+            self._end_open("p", ENDS_P - {"p"} | SCOPE)
         if tag in SIBLINGS:
             for other in SIBLINGS[tag]:
                 self._end_open(other, {"ul", "ol", "menu", "dl", "table", "select"} if other != "tr" else {"table"})
         parent = self.open[-1]
+        if parent.skipped:
+            if tag not in VOID:
+                self.open.append(_Node(tag, parent.path, parent.article, True))
+            return
         parent.shown.append(tag)
         if tag == "br":
             self.text.append(" ")
@@ -123,8 +132,7 @@ class PageParser(HTMLParser):
         if tag in NOISE or named or header:
             if tag in BLOCK:
                 self._flush()
-            self.skip = [tag]
-            self.by_name = named and tag not in NOISE
+            self.open.append(_Node(tag, parent.path, parent.article, True, named and tag not in NOISE))
             return
         if tag in BLOCK:
             self._flush()
@@ -146,17 +154,17 @@ class PageParser(HTMLParser):
         self.handle_starttag(tag, attrs)  # browsers ignore the slash
 
     def handle_endtag(self, tag: str) -> None:
-        if self.skip:
-            if tag == self.skip[-1]:
-                self.skip.pop()
-            return
+        barrier = END_SCOPE.get(tag, () if tag in BLOCK | NOISE else BLOCK)
         for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth].tag == tag:
+            node = self.open[depth]
+            if node.tag == tag:
                 self._close(depth)
                 return
+            if node.skipped and (node.tag in barrier or node.tag in SCOPE):
+                return
 
     def handle_data(self, data: str) -> None:
-        if not self.skip:
+        if not self.open[-1].skipped:
             if not self.text and data.strip():
                 self.open[-1].shown.append("#")
             self.text.append(data)

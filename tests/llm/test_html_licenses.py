@@ -29,6 +29,21 @@ def test_blocks(html, want):
     assert [t for _, _, t in parse(html).blocks] == want
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<article><p class=ad>x<p>real<p>more</article>after", ["real", "more", "after"]),
+        ("<ul><li>a<li class=share>s<li>b</ul>c", ["a", "b", "c"]),
+        ("<div><aside>no<p>no</div>yes", ["yes"]),
+        ("<dl><dt>t<dd class=ad>x<dt>u</dl><table><tr><td class=ad>x<td>y<tr class=ad><td>x<tr><td>z</table>", ["t", "u", "y", "z"]),
+        ("<span>a<div class=ad>x</span>x</div>b</span>", ["a", "b"]),
+        ("<p>a<button><p>x</button>b</p>c", ["ab", "c"]),
+    ],
+)
+def test_skipped_elements_end_as_others_do(html, want):
+    assert [t for _, _, t in parse(html).blocks] == want
+
+
 def test_article():
     page = parse("<body><header>site</header><article><header><h1>T</h1></header><p>x <b>y</b>z</p> loose <div>in</div> after<div class='comments'><article class='comment'>c</article></div></article><p>out</body>")
     assert [t for inside, _, t in page.blocks if inside] == ["T", "x yz", "loose", "in", "after"]
