@@ -261,7 +261,7 @@ def prefix_token_counts(
                 steps = counter.steps(text)
                 n = int(steps.sum(dtype=np.int64))
                 fit = len(text)
-                if n > budget or store_prefixes:
+                if n > budget:
                     within = np.flatnonzero(np.cumsum(steps, dtype=np.int64) <= budget)
                     fit = int(within[-1]) + 1 if len(within) else 0
                 sizes.append(len(text.encode("utf-8", "surrogatepass")))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlake.llm import decontaminate, html_extract, licenses, mixing, near_duplicates, prefix_tokens, quality, repair, sharding, toxicity
+from arborlake.llm.common import written
 
 SHARDS = 8
 
@@ -81,7 +82,8 @@ def op9_probminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFra
 
 def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    counts = prefix_tokens.prefix_token_counts(docs, tokenizer_path("byte_bpe_50k.json"), budget=1024, store_prefixes=False)
+    counts = prefix_tokens.prefix_token_counts(docs, tokenizer_path("byte_bpe_50k.json"), budget=1024)
+    counts = written(counts, "prefix-counts")
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "fit_chars")
 
 

@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 
 from arborlake.llm import prefix_tokens as pt
 from arborlake.llm import repair
+from arborlake.llm.common import written
 
 BYTES, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 ODD = ["", " ", "  ", " a", "a  b", "a\n b", "don't they'll  we're\t\tx\n\n\ny", "x<|endoftext|>y  <|endoftext|>", "<|endoftext|>", " 12'3'll 've x　　y", "éà日本語\U0001f600 ok", "a\r\n\r\n  b\x1cc \x1c d", "a" * 300, " " * 200, "-" * 150 + "\n" * 90]
@@ -66,6 +67,19 @@ def test_prefix_operator(spark, docs, clashing, empty, library):
     assert pt.prefix_token_counts(empty, BYTES).count() == 0
 
 
+def test_query_stores_prefixes(spark, docs, tmp_path, monkeypatch):
+    from arborlake.llm import queries
+
+    stored = []
+    monkeypatch.setattr(queries, "written", lambda df, name: stored.append(written(df, name)) or stored[-1])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = {(r["doc_id"], r["n_bytes"], r["n_tokens"], r["fit_chars"]) for r in queries.op10_prefix_token_counts(spark, str(tmp_path)).collect()}
+    rows = stored[0].collect()
+    assert len(rows) == docs.count() and out == {(r["doc_id"], r["n_bytes"], r["n_tokens"], r["fit_chars"]) for r in rows}
+    for r in rows:
+        assert pt.tokens_until(r["prefix_steps"], 10**9) == r["n_tokens"] and pt.longest_within(r["prefix_steps"], 1024) == r["fit_chars"]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 9), max_size=300), st.integers(0, 300), st.integers(0, 300))
 def test_part_round_trip(ids, a, b):
