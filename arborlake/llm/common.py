@@ -93,6 +93,14 @@ def word_bytes(text) -> list[bytes]:
     return utf8(text).translate(WORD_BYTES).split()
 
 
+def byte_letters() -> dict[int, str]:
+    """Byte -> letter of the byte-level alphabet: visible Latin-1 stands for itself, the rest for
+    the letters from U+0100 on, in order."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 def batches_by_bytes(texts: list, limit: int) -> Iterator[slice]:
     """Slices of ``texts`` of about ``limit`` characters each, one text at least."""
     begin = size = 0
@@ -132,12 +140,16 @@ def worker_object(key: tuple, make):
     """An object that a Python worker keeps for all its tasks, such as a tokenizer with its cache.
 
     It is kept in a module of its own in ``sys.modules``, as functions that travel with a plan get
-    new globals for every task. It may only hold what any task would compute alike.
+    new globals for every task. It may only hold what any task would compute alike. The garbage
+    collector is kept from walking through it again and again.
     """
+    import gc
     import sys
     import types
 
     kept = sys.modules.setdefault("_arborlake_worker", types.ModuleType("_arborlake_worker")).__dict__
     if kept.get("key") != key:
         kept["key"], kept["object"] = key, make()
+        gc.freeze()
+        gc.set_threshold(100_000, 20, 50)
     return kept["object"]

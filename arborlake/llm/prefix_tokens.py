@@ -14,32 +14,32 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from arborlake.llm.common import map_arrow, worker_object
+from arborlake.llm.common import byte_letters, map_arrow, worker_object
 
 #: Fixed value: the byte-level tokenizers' pattern for pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of each kind that a worker keeps; then it starts anew.
-CACHE = 600_000
+CACHE = 1_000_000
+#: Steps are stored in one byte each, or in eight where one of the text's is beyond this.
+MOST = 127
 
 
-def byte_letters() -> dict[int, str]:
-    """Byte -> letter of the byte-level alphabet: visible Latin-1 stands for itself, the rest for
-    the letters from U+0100 on, in order."""
-    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+class Wide(Exception):
+    """A step that doesn't fit the narrow form."""
 
 
 class PrefixCounter:
     """Token counts at every prefix for a byte-level BPE in the ``tokenizers`` JSON format."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kind: str = "i1") -> None:
+        self.path, self.kind, self.wide = path, np.dtype(kind), None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec["pre_tokenizer"]
@@ -60,8 +60,12 @@ class PrefixCounter:
         self.letters = byte_letters()
         self.find = regex.compile(PATTERN).findall
         self.units = regex.compile(r"\s*\S+|\s+").findall
-        self.blank = regex.compile(r"\s").match
-        self.to_letters = {b: c for b, c in self.letters.items()}
+        self.blanks = frozenset(regex.findall(r"\s", "".join(map(chr, range(0x3100)))))  # all there are
+        self.longer = {}
+        place = {t: i for i, t in enumerate(self.tokens)}
+        for t, i in place.items():
+            if t[:-1] in place:
+                self.longer[place[t[:-1]] << 9 | ord(t[-1])] = i
         self.pairs: dict[int, bool] = {}
         self.pretokens: dict[str, bytes] = {}
         self.cached: dict[str, bytes] = {}
@@ -89,51 +93,72 @@ class PrefixCounter:
         if len(self.pretokens) > CACHE:
             self.pretokens.clear()
         trie, pairs, may_follow = self.trie, self.pairs, self._may_follow
-        coded = sorted((s.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.to_letters), s) for s in pretokens)
-        before, last, count = "", [-1], [0]
+        coded = sorted((s.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters), s) for s in pretokens)
+        before, last, count, begin = "", [-1], [0], [0]
+        narrow, longer = self.kind.itemsize == 1, self.longer.get
         for w, s in coded:
             same, most = 0, min(len(w), len(before))
             while same < most and w[same] == before[same]:
                 same += 1
-            del last[same + 1 :], count[same + 1 :]
+            del last[same + 1 :], count[same + 1 :], begin[same + 1 :]
             for i in range(same, len(w)):
-                node, j = trie, i
-                while True:
-                    node = node.get(w[j]) if j >= 0 else None
-                    if node is None:
-                        raise AssertionError("no token ends this prefix")
-                    token = node.get("")
-                    if token is not None:
-                        if not j:
-                            break
-                        known = pairs.get(last[j] << 20 | token)
-                        if known or known is None and may_follow(last[j], token):
-                            break
-                    j -= 1
+                # Mostly the last token grows by a letter; else tokens are tried from the shortest on.
+                token, j = longer(last[i] << 9 | ord(w[i])), begin[i]
+                if token is not None and j:
+                    known = pairs.get(last[j] << 20 | token)
+                    if not (known or known is None and may_follow(last[j], token)):
+                        token = None
+                if token is None:
+                    node, j = trie, i
+                    while True:
+                        node = node.get(w[j]) if j >= 0 else None
+                        if node is None:
+                            raise AssertionError("no token ends this prefix")
+                        token = node.get("")
+                        if token is not None:
+                            if not j:
+                                break
+                            known = pairs.get(last[j] << 20 | token)
+                            if known or known is None and may_follow(last[j], token):
+                                break
+                        j -= 1
                 last.append(token)
+                begin.append(j)
                 count.append(count[j] + 1)
             before = w
-            if len(w) == len(s):
-                ends = np.array(count, np.int64)
+            ends = count
+            if len(w) != len(s):
+                ends, at = [0], 0
+                for c in s:
+                    at += 1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))
+                    ends.append(count[at])
+            if narrow and len(w) <= MOST:  # counts, and so steps, are no more
+                self.pretokens[s] = bytes([b - a & 255 for a, b in pairwise(ends)])
             else:
-                at = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in s])
-                ends = np.array(count, np.int64)[np.concatenate([[0], at])]
-            self.pretokens[s] = (ends[1:] - ends[:-1]).astype(np.int16).tobytes()
+                self.pretokens[s] = self._pack(np.diff(np.array(ends, np.int64)))
+
+    def _pack(self, steps: np.ndarray) -> bytes:
+        if self.kind.itemsize == 1 and np.abs(steps).max(initial=0) > MOST:
+            raise Wide
+        return steps.astype(self.kind).tobytes()
+
+    def _unpack(self, steps: bytes) -> np.ndarray:
+        return np.frombuffer(steps, self.kind)
 
     def pretoken(self, s: str) -> list[int]:
         """Counts of one pre-token's prefixes, at its characters."""
         if s not in self.pretokens:
             self._learn([s])
-        return np.cumsum(np.frombuffer(self.pretokens[s], np.int16), dtype=np.int64).tolist()
+        return np.cumsum(self._unpack(self.pretokens[s]), dtype=np.int64).tolist()
 
     def unit(self, s: str) -> bytes:
-        """Steps (int16) of the counts along a part that begins after a non-blank or at the start."""
+        """Steps of the counts along a part that begins after a non-blank or at the start."""
         found = self.find(s)
         odd = False
         before = False
         for p in found:
             blank = not p.strip()
-            odd |= p[0] == "'" and len(p) == 3 or before and self.blank(p) is not None
+            odd |= p[0] == "'" and len(p) == 3 or before and p[0] in self.blanks
             before = blank
         if not odd:
             fresh = [p for p in found if p not in self.pretokens]
@@ -153,7 +178,7 @@ class PrefixCounter:
         for p in found:
             own = [base + c for c in self.pretoken(p)]
             whole = own[-1]
-            if before is not None and self.blank(p):
+            if before is not None and p[0] in self.blanks:
                 # Cut here, the blanks so far would be one pre-token.
                 own[0] = blank_at + self.pretoken(before + p[0])[-1]
             elif p[0] == "'" and len(p) == 3 and p[1].isalpha():
@@ -161,22 +186,28 @@ class PrefixCounter:
             done += own
             before, blank_at = (p, base) if not p.strip() else (None, 0)
             base = whole
-        return np.diff(np.array([0, *done], np.int64)).astype(np.int16).tobytes()
+        return self._pack(np.diff(np.array([0, *done], np.int64)))
 
     def prepare(self, texts: list[str]) -> None:
         """Learns what is new in a batch of texts at once; it changes no result, only the time."""
+        try:
+            self._prepare(texts)
+        except Wide:  # the texts are learned one by one
+            pass
+
+    def _prepare(self, texts: list[str]) -> None:
         if len(self.pieces) > CACHE:
             self.pieces.clear()
         fresh: dict[str, None] = {}
         for text in texts:
             fresh.update(dict.fromkeys(text.split(" ")))
-        found = {piece: self.find(f" {piece}") for piece in fresh if piece not in self.pieces and piece and not self.blank(piece[-1])}
+        found = {piece: self.find(f" {piece}") for piece in fresh if piece not in self.pieces and piece and piece[-1] not in self.blanks}
         if len(self.pretokens) > CACHE:
             self.pretokens.clear()
         self._learn(list({p for own in found.values() for p in own} - self.pretokens.keys()))
-        pieces, get, blank = self.pieces, self.pretokens.__getitem__, self.blank
+        pieces, get, blanks = self.pieces, self.pretokens.__getitem__, self.blanks
         for piece, own in found.items():
-            if len(own) == 1 or "'" not in piece and not any(blank(p) and blank(p[-1]) for p in own):
+            if len(own) == 1 or "'" not in piece and not any(p[0] in blanks and p[-1] in blanks for p in own):
                 pieces[piece] = b"".join(map(get, own))
             else:
                 pieces[piece] = self.unit(f" {piece}")
@@ -200,32 +231,36 @@ class PrefixCounter:
                     piece = rest[i]
                     got = self.pieces.get(piece)
                     if got is None:
-                        if not piece or self.blank(piece[-1]):  # a blank before a blank: part at runs
+                        if not piece or piece[-1] in self.blanks:  # a blank before a blank: part at runs
                             return b"".join(map(self._unit_cached, self.units(text)))
                         got = self.pieces[piece] = self.unit(f" {piece}")
                     steps[i] = got
-        if first and rest and self.blank(first[-1]):
+        if first and rest and first[-1] in self.blanks:
             return b"".join(map(self._unit_cached, self.units(text)))
         return b"".join([self._unit_cached(first) if first else b"", *steps])
 
     def steps(self, text: str) -> np.ndarray:
-        """What each character adds to the number of tokens of the text so far (int16)."""
-        for mark in self.special:
-            if mark in text:
-                return self._with_special(text, mark)
-        return np.frombuffer(self._plain(text), np.int16)
+        """What each character adds to the number of tokens of the text so far; int8 where all fit."""
+        try:
+            for mark in self.special:
+                if mark in text:
+                    return self._with_special(text, mark)
+            return self._unpack(self._plain(text))
+        except Wide:
+            if self.wide is None:
+                self.wide = PrefixCounter(self.path, "i8")
+            return self.wide.steps(text)
 
     def _with_special(self, text: str, mark: str) -> np.ndarray:
         out, parts = [], text.split(mark)
         for i, part in enumerate(parts):
-            own = np.frombuffer(self._plain(part), np.int16)
-            out.append(own)
+            out.append(self._unpack(self._plain(part)))
             if i + 1 < len(parts):
                 # Inside the mark it's still ordinary text; its last character makes it one token.
                 # What precedes the part's last blank doesn't change.
                 cut = max(part.rfind(" "), 0) if not part.endswith((" ", "\n", "\t")) else 0
-                at = [int(np.frombuffer(self._plain(part[cut:] + mark[:k]), np.int16).sum()) for k in range(len(mark))]
-                out.append(np.diff(np.array([*at, at[0] + 1])).astype(np.int16))
+                at = [int(self._unpack(self._plain(part[cut:] + mark[:k])).sum(dtype=np.int64)) for k in range(len(mark))]
+                out.append(self._unpack(self._pack(np.diff(np.array([*at, at[0] + 1])))))
         return np.concatenate(out)
 
     def count(self, text: str | None) -> int:
@@ -244,8 +279,9 @@ def prefix_token_counts(
     """(id, n_bytes, n_tokens, fit_chars[, prefix_steps]) per row of ``docs``.
 
     ``tokenizer`` is a path that every executor has. ``fit_chars`` is the length in characters of the
-    longest prefix of at most ``budget`` tokens. ``prefix_steps`` holds, as int16 in machine order,
-    what each character adds, so that its running sum is the exact count of every prefix: see
+    longest prefix of at most ``budget`` tokens. ``prefix_steps`` holds a byte that says how wide a step
+    is (1 or 8) and what each character adds, as signed integers of that width in machine order, so that
+    the running sum is the exact count of every prefix: see
     :func:`tokens_until` and :func:`longest_within`. Null and empty texts have zeros and no steps.
     Rows are treated one by one: ties, repeats and null ids don't matter. Texts are whole.
     """
@@ -267,7 +303,7 @@ def prefix_token_counts(
                 sizes.append(len(text.encode("utf-8", "surrogatepass")))
                 tokens.append(n)
                 fits.append(fit)
-                kept.append(steps.tobytes())
+                kept.append(_stored(steps))
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array(fits, pa.int64())]
             names = [id_col, "n_bytes", "n_tokens", "fit_chars"]
             if store_prefixes:
@@ -278,12 +314,20 @@ def prefix_token_counts(
     return map_arrow(docs.select(id_col, text_col), run, schema)
 
 
+def _stored(steps: np.ndarray) -> bytes:
+    return bytes([steps.itemsize]) + steps.tobytes() if len(steps) else b""
+
+
+def stored_steps(prefix_steps: bytes) -> np.ndarray:
+    return np.frombuffer(prefix_steps, f"i{prefix_steps[0]}", offset=1) if prefix_steps else np.zeros(0, np.int8)
+
+
 def tokens_until(prefix_steps: bytes, chars: int) -> int:
     """Tokens of the first ``chars`` characters."""
-    return int(np.frombuffer(prefix_steps, np.int16)[:chars].sum(dtype=np.int64))
+    return int(stored_steps(prefix_steps)[:chars].sum(dtype=np.int64))
 
 
 def longest_within(prefix_steps: bytes, budget: int) -> int:
     """Length of the longest prefix of at most ``budget`` tokens."""
-    within = np.flatnonzero(np.cumsum(np.frombuffer(prefix_steps, np.int16), dtype=np.int64) <= budget)
+    within = np.flatnonzero(np.cumsum(stored_steps(prefix_steps), dtype=np.int64) <= budget)
     return int(within[-1]) + 1 if len(within) else 0

@@ -1,8 +1,8 @@
 """Token-id files compressed by a Re-Pair grammar, with random access.
 
 A file part holds the ids of consecutive documents. Rounds replace frequent pairs of neighbouring
-symbols by nonterminals: a round counts all pairs of the part, gives each of the most frequent ones
-a rule, and rewrites the sequence from left to right. The part stores the rules, the length that each
+symbols by nonterminals: a round counts all pairs that may be frequent, exactly, gives each of the most
+frequent ones a rule, and rewrites the sequence from left to right, until no pair is frequent. The part stores the rules, the length that each
 rule expands to, the final sequence and the documents' places, so that any range of ids is decoded
 from the symbols that cover it alone.
 
@@ -12,86 +12,126 @@ and committed by Spark, so a lost executor's parts are written again and nothing
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from arborlake.llm.common import map_arrow, small_table, worker_object, written
+from arborlake.llm.common import byte_letters, map_arrow, worker_object, written
 
 MAGIC = b"ARP1"
-#: Defaults: ids of a part, rounds, new rules of a round, least count of a replaced pair.
-PART_IDS, ROUNDS, RULES_A_ROUND, LEAST = 1 << 20, 6, 1024, 8
-#: Pairs are counted in so many bins, a power of two.
-BINS = 1 << 18
+#: Defaults: ids of a part, least count of a replaced pair.
+PART_IDS, LEAST = 1 << 20, 8
+#: A round replaces the pairs that are at least this fraction as frequent as the most frequent one.
+NEAR_TOP = 16
 CACHE = 800_000
+#: Bytes of text that are encoded together.
+GATHER = 8 << 20
 #: A control character that stands between words which are encoded together.
 MARK = "\x01"
-
-
-def _bin(keys: np.ndarray) -> np.ndarray:
-    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 18)).astype(np.int64)
-
-
-def compress(ids: np.ndarray, terminals: int, rounds: int = ROUNDS, rules_a_round: int = RULES_A_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, rules): symbol ``terminals + r`` stands for the pair ``rules[r]``."""
+#: What the word-end tokenizers do to a text before their merges.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words of these characters alone are normalised by str.lower and parted by PLAIN_PIECES just so; a
+#: line's end, which no word holds, stands between words here.
+PLAIN_LINES = re.compile("[\n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-/:-@\\[-`{-~]+|\n").findall
+#: Sections whose sums are added up at once.
+SECTIONS_A_CHUNK = 1_024
+
+
+def _frequent(keys: np.ndarray, least: int) -> np.ndarray:
+    """Which keys may occur ``least`` times: every key that does, and some that share its bin."""
+    bits = min(20, max(10, len(keys).bit_length()))
+    bins = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+    return (np.bincount(bins, minlength=1 << bits) >= least)[bins]
+
+
+def _grouped(keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, where each one's places begin, and the places in order of their key."""
+    wide = int(at[-1]).bit_length()
+    if int(keys.max()).bit_length() + wide <= 64:
+        both = np.sort((keys << np.uint64(wide)) | at.astype(np.uint64))
+        keys, at = both >> np.uint64(wide), (both & np.uint64((1 << wide) - 1)).astype(np.int64)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, at = keys[order], at[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], first, at
+
+
+def compress(ids: np.ndarray, terminals: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, rules): symbol ``terminals + r`` stands for the pair ``rules[r]``.
+
+    Rounds go on until no pair of neighbours occurs ``least`` times. Counts are exact. A round replaces
+    the most frequent pairs, from left to right. An occurrence is looked at again only while its pair may
+    still be frequent: counts of a pair of old symbols never rise, so what is rare once is rare for good.
+    """
     seq = ids.astype(np.uint32)
+    open_ = np.ones(len(seq), bool)  # the pair that begins here may be frequent
+    open_[-1:] = False
     rules: list[np.ndarray] = []
     made = 0
-    for _ in range(rounds):
-        if len(seq) < 2:
+    while True:
+        at = np.flatnonzero(open_)
+        wide = np.uint64((terminals + made).bit_length())
+        keys = (seq[at].astype(np.uint64) << wide) | seq[at + 1]
+        may = _frequent(keys, least) if len(at) else np.zeros(0, bool)
+        open_[at[~may]] = False
+        if not may.any():
             break
-        keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        bins = _bin(keys)
-        owner = np.zeros(BINS, np.uint64)
-        owner[bins] = keys  # one pair of each bin stands for it in this round
-        own = owner[bins] == keys
-        counts = np.bincount(bins[own], minlength=BINS)
-        chosen = np.flatnonzero(counts >= least)
-        if not len(chosen):
+        pairs, first, at = _grouped(keys[may], at[may])
+        counts = np.diff(first, append=len(at))
+        chosen = counts >= max(least, int(counts.max()) // NEAR_TOP)
+        if not chosen.any():
             break
-        if len(chosen) > rules_a_round:
-            floor = np.partition(counts[chosen], -rules_a_round)[-rules_a_round]
-            above = chosen[counts[chosen] > floor]
-            even = chosen[counts[chosen] == floor]
-            chosen = np.concatenate([above, even[: rules_a_round - len(above)]])
-        rule = np.full(BINS, -1, np.int64)
-        rule[chosen] = np.arange(len(chosen))
-        hit = own & (rule[bins] >= 0)
-        at = np.flatnonzero(hit)
+        pairs = pairs[chosen]
+        rule_at = np.full(len(seq), -1, np.int32)
+        rule_at[at[np.repeat(chosen, counts)]] = np.repeat(np.arange(len(pairs), dtype=np.int32), counts[chosen])
+        at = np.flatnonzero(rule_at >= 0)
+        place = rule_at[at]
         # From left to right: of pairs that overlap, every other one.
         run = np.concatenate([[True], np.diff(at) > 1])
         begin = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - begin) % 2 == 0]
-        seq[at] = (terminals + made + rule[bins[at]]).astype(np.uint32)
+        first = (np.arange(len(at)) - begin) % 2 == 0
+        used, rule = np.unique(place[first], return_inverse=True)
+        at = at[first]
+        seq[at] = (terminals + made + rule).astype(np.uint32)
+        open_[at] = open_[np.maximum(at - 1, 0)] = True
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq = seq[keep]
-        pairs = owner[chosen]
-        rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        made += len(chosen)
+        seq, open_ = seq[keep], open_[keep]
+        open_[-1] = False
+        rules.append(np.stack([pairs[used] >> wide, pairs[used] & np.uint64((1 << int(wide)) - 1)], 1).astype(np.uint32))
+        made += len(used)
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
 def expansion_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
     """How many ids each rule stands for; a rule uses earlier symbols only."""
-    lengths = np.ones(len(rules), np.int64)
-    for r, (a, b) in enumerate(rules.tolist()):
-        lengths[r] = (1 if a < terminals else lengths[a - terminals]) + (1 if b < terminals else lengths[b - terminals])
-    return lengths
+    lengths: list[int] = []
+    for a, b in rules.tolist():
+        lengths.append((1 if a < terminals else lengths[a - terminals]) + (1 if b < terminals else lengths[b - terminals]))
+    return np.array(lengths, np.int64)
 
 
 def pack(ids: np.ndarray, ends: np.ndarray, terminals: int, **how: int) -> bytes:
-    """A part: header, documents' ends, rules, expansion lengths, sequence (little-endian)."""
+    """A part: header, documents' ends, rules, expansion lengths, sequence (little-endian; the symbols' low
+    16 bits, then, where there are more symbols, the rest of each in one byte or two)."""
     seq, rules = compress(ids, terminals, **how)
-    wide = 4 if terminals + len(rules) > 1 << 16 else 2
+    top = terminals + len(rules)
+    wide = 2 if top <= 1 << 16 else 3 if top <= 1 << 24 else 4
     head = struct.pack("<4sBxxxIQQQ", MAGIC, wide, terminals, len(rules), len(seq), len(ends))
-    kind = "<u4" if wide == 4 else "<u2"
-    return b"".join([head, ends.astype("<u8").tobytes(), rules.astype("<u4").tobytes(), expansion_lengths(rules, terminals).astype("<u4").tobytes(), seq.astype(kind).tobytes()])
+    low, high = (seq & 0xFFFF).astype("<u2").tobytes(), (seq >> 16).astype("<u1" if wide == 3 else "<u2").tobytes()
+    return b"".join([head, ends.astype("<u8").tobytes(), rules.astype("<u4").tobytes(), expansion_lengths(rules, terminals).astype("<u4").tobytes(), low, high if wide > 2 else b""])
 
 
 class Part:
@@ -112,24 +152,38 @@ class Part:
         self.ends = take("<u8", n_docs).astype(np.int64)
         self.rules = take("<u4", 2 * n_rules).reshape(-1, 2)
         self.lengths = take("<u4", n_rules).astype(np.int64)
-        self.seq = take("<u4" if wide == 4 else "<u2", n_seq)
+        self.seq = take("<u2", n_seq).astype(np.uint32)
+        if wide > 2:
+            self.seq |= take("<u1" if wide == 3 else "<u2", n_seq).astype(np.uint32) << 16
         if at != len(blob):
             raise ValueError("the part has another length than its header says")
         self._starts = np.concatenate([[0], np.cumsum(self.lengths)])
-        self._flat = np.zeros(int(self._starts[-1]), np.uint32)
-        for r, (a, b) in enumerate(self.rules.tolist()):
-            i = int(self._starts[r])
-            for s in (a, b):
-                if s < self.terminals:
-                    self._flat[i] = s
-                    i += 1
-                else:
-                    j, n = int(self._starts[s - self.terminals]), int(self.lengths[s - self.terminals])
-                    self._flat[i : i + n] = self._flat[j : j + n]
-                    i += n
+        self._flat = self._expanded()
         sym = self.seq.astype(np.int64)
         self._reach = np.cumsum(np.where(sym < self.terminals, 1, self.lengths[np.maximum(sym - self.terminals, 0)] if n_rules else 1))
 
+    def _expanded(self) -> np.ndarray:
+        """What the rules stand for, one after the other; rules of one height are expanded together."""
+        flat = np.zeros(int(self._starts[-1]), np.uint32)
+        height: list[int] = []
+        for a, b in self.rules.tolist():
+            height.append(1 + max(height[a - self.terminals] if a >= self.terminals else 0, height[b - self.terminals] if b >= self.terminals else 0))
+        height = np.array(height, np.int64)
+        for h in range(1, int(height.max(initial=0)) + 1):
+            own = np.flatnonzero(height == h)
+            to = self._starts[own]
+            for side in (0, 1):
+                sym = self.rules[own, side].astype(np.int64)
+                plain = sym < self.terminals
+                rule = np.maximum(sym - self.terminals, 0)
+                size = np.where(plain, 1, self.lengths[rule])
+                flat[to[plain]] = sym[plain]
+                n = size[~plain]
+                step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                flat[np.repeat(to[~plain], n) + step] = flat[np.repeat(self._starts[rule[~plain]], n) + step]
+                to = to + size
+        return flat
+
     def __len__(self) -> int:
         return int(self._reach[-1]) if len(self._reach) else 0
 
@@ -154,92 +208,174 @@ class Part:
         return self.ids(int(self.ends[i - 1]) if i else 0, int(self.ends[i]))
 
 
+class Runs:
+    """Runs of ids by key, one after the other in a flat array."""
+
+    def __init__(self) -> None:
+        self.place: dict = {}
+        self.starts, self.sizes = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
+
+    def add(self, keys: list, sizes: np.ndarray, ids: np.ndarray) -> None:
+        n, m = len(self.place), len(keys)
+        if n + m > len(self.starts):
+            more = max(n + m, 2 * len(self.starts))
+            self.starts, self.sizes = (np.concatenate([x, np.zeros(more - len(x), np.int64)]) for x in (self.starts, self.sizes))
+        if self.used + len(ids) > len(self.flat):
+            more = max(self.used + len(ids), 2 * len(self.flat))
+            self.flat = np.concatenate([self.flat, np.zeros(more - len(self.flat), np.uint32)])
+        self.sizes[n : n + m] = sizes
+        self.starts[n : n + m] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.place.update(zip(keys, range(n, n + m), strict=True))
+
+    def places(self, keys: list) -> np.ndarray:
+        """Where each key's run is kept; -1 if it isn't."""
+        return np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
+
+    def take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs at these places, joined, and their sizes."""
+        sizes = self.sizes[places]
+        ahead = np.cumsum(sizes) - sizes
+        at = np.repeat(self.starts[places] - ahead, sizes)
+        at += np.arange(len(at))
+        return self.flat[at], sizes
+
+
+def _distinct(keys: list[str]) -> tuple[list[str], np.ndarray]:
+    """The distinct keys and the place of each key among them."""
+    table = pa.array(keys, pa.large_string()).dictionary_encode()
+    return table.dictionary.to_pylist(), table.indices.to_numpy()
+
+
 class Encoder:
-    """Texts to ids with a ``tokenizers`` file; frequent words are encoded once.
+    """Texts to ids with a ``tokenizers`` file; words, and pieces of words, are encoded once.
 
     Only for tokenizers whose pre-tokens never span white space and drop it (checked): then a text's
-    ids are those of its words between blanks, one after the other.
+    ids are those of its words between blanks, one after the other. Of a word of ASCII and Latin-1 letters,
+    digits and marks the pieces are found here, if the tokenizer's steps are the known ones (checked), and
+    the library's model gives a piece's ids; any other word is encoded whole by the library.
     """
 
     def __init__(self, path: str) -> None:
-        import json
-
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
-        self.by_word = split.get("type") == "Split" and split.get("invert") and split.get("behavior") == "Removed" and "\\s" in split["pattern"].get("Regex", "")
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        split, norm = steps[0], spec["normalizer"] or {}
+        known = [n["type"] for n in norm.get("normalizers", [norm] if norm else [])]
+        pattern = split.get("pattern", {}).get("Regex", "")
+        self.by_word = split.get("type") == "Split" and split.get("invert") and split.get("behavior") == "Removed" and "\\s" in pattern and set(known) <= set(NORMALIZERS)
+        byte_level = [x.get("type") for x in steps[1:]] == ["ByteLevel"] and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+        self.by_piece = bool(self.by_word and pattern == PIECES and known == NORMALIZERS and byte_level and spec["model"].get("dropout") is None)
         self.terminals = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.cached: dict[str, bytes] = {}
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.is_end = np.zeros(max(vocab.values(), default=0) + 1, bool)
-        self.is_end[[i for token, i in vocab.items() if token.endswith(spec["model"].get("end_of_word_suffix") or "\n")]] = True
-        self.marks = {m: self._whole(m) for m in ".,"}
+        added = [re.escape(t["content"]) for t in spec["added_tokens"]]
+        self.holds_added = re.compile("|".join(added) if added else "(?!)").search
+        self.letters = byte_letters()
         self.mark_id = (self.tokenizer.encode(MARK, add_special_tokens=False).ids or [-1])[0]
-
-    def encode(self, texts: list[str], end_id: int) -> list[bytes]:
-        """The ids of each text and ``end_id``, as little-endian unsigned 32-bit integers."""
-        tail = struct.pack("<I", end_id)
-        # str.split parts at four control characters that the tokenizers' \s leaves alone.
-        plain = [self.by_word and not any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
-        words = [t.split() if p else () for t, p in zip(texts, plain, strict=True)]
-        if len(self.cached) > CACHE:
-            self.cached.clear()
-        get = self.cached.get
-        found = [list(map(get, own)) for own in words]
-        lacking = [i for i, own in enumerate(found) if None in own]
-        fresh = list(dict.fromkeys(w for i in lacking for w, x in zip(words[i], found[i], strict=True) if x is None))
-        for i in range(0, len(fresh), 4096):
-            self._learn(fresh[i : i + 4096])
-        for i in lacking:
-            found[i] = map(get, words[i])
-        return [b"".join(own) + tail if p else self._whole(t) + tail for t, own, p in zip(texts, found, plain, strict=True)]
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        """Encodes new words together. Of most words only the letters are new: a full stop or a comma
-        behind them is a pre-token of its own, and ASCII capitals encode as small letters do."""
-        cached, odd, cores = self.cached, [], {}
-        for w in words:
-            tail = w[-1] if w[-1] in self.marks else ""
-            core = w[: len(w) - len(tail)]
-            if core.isalpha():
-                cores[w] = (core.lower() if core.isascii() else core, tail)
-            else:
-                odd.append(w)
-        fresh = list(dict.fromkeys(core for core, _ in cores.values() if core not in cached))
-        if fresh:
-            ids = np.array(self.tokenizer.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.is_end[ids]) + 1
-            if len(ends) == len(fresh):  # each word is one pre-token
-                self._cut(fresh, ids, ends, ends)
+        self.pieces, self.odd = Runs(), Runs()
+
+    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with ``end_id`` behind, joined, and the number of each text's ids."""
+        if len(self.pieces.place) > CACHE:
+            self.pieces = Runs()
+        if len(self.odd.place) > CACHE:
+            self.odd = Runs()
+        keys: list[str] = []
+        ends = []
+        for t in texts:
+            # str.split parts at four control characters that the tokenizers' \s leaves alone.
+            if self.by_word and not any(c in t for c in "\x1c\x1d\x1e\x1f"):
+                keys += t.split()
             else:
-                self._learn_marked(fresh)
-        for w, (core, tail) in cores.items():
-            cached[w] = cached[core] + self.marks[tail] if tail else cached[core]
+                keys.append(f" {t}")  # no word begins with a blank: a whole text
+            keys.append("")  # no word is empty: the text's end
+            ends.append(len(keys))
+        own, at = _distinct(keys)
+        runs = Runs()
+        runs.add([""], np.array([1]), np.array([end_id], np.uint32))
+        self._add_words([w for w in own if w], runs)
+        ids, sizes = runs.take(runs.places(own)[at])
+        upto = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.array(ends, np.int64)])]
+        return ids, np.diff(upto)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _add_words(self, words: list[str], runs: Runs) -> None:
+        """Adds the ids of distinct words. Many a word is rare, but its letters, digits and marks, which
+        the tokenizer parts as well, are often known."""
+        plain, odd = words, []
+        joined = "\n".join(plain)
+        if not self.by_piece:
+            plain, odd = [], words
+        elif not PLAIN_LINES(joined) or self.holds_added(joined):
+            plain = [w for w in words if PLAIN_LINES(w) and not self.holds_added(w)]
+            odd = list({*words}.difference(plain))
+            joined = "\n".join(plain)
+        if plain:
+            own, at = _distinct(PLAIN_PIECES(joined.lower() + "\n"))
+            places = self.pieces.places(own)
+            lacking = np.flatnonzero(places < 0).tolist()
+            if lacking:
+                fresh = [own[i] for i in lacking]
+                self._learn_pieces(fresh)
+                places[lacking] = self.pieces.places(fresh)
+            ids, sizes = self.pieces.take(places[at])
+            last = np.flatnonzero(at == own.index("\n"))
+            runs.add(plain, np.diff(np.cumsum(sizes)[last], prepend=0), ids)
         if odd:
-            self._learn_marked(odd)
-
-    def _cut(self, words: list[str], ids: np.ndarray, ends: np.ndarray, nexts: np.ndarray) -> None:
-        raw, begin = ids.tobytes(), 0
-        for w, end, following in zip(words, (4 * ends).tolist(), (4 * nexts).tolist(), strict=True):
-            self.cached[w] = raw[begin:end]
-            begin = following
-
-    def _learn_marked(self, words: list[str]) -> None:
-        """Words of any letters, encoded as one text with a mark between them that none of them holds."""
-        plain = [w for w in words if MARK not in w]
-        ids = np.array(self.tokenizer.encode(f" {MARK} ".join([*plain, ""]), add_special_tokens=False).ids, "<u4")
+            fresh = [w for w in odd if w not in self.odd.place]
+            for i in range(0, len(fresh), 4096):
+                self._learn_odd(fresh[i : i + 4096])
+            ids, sizes = self.odd.take(self.odd.places(odd))
+            runs.add(odd, sizes, ids)
+
+    def _learn_pieces(self, fresh: list[str]) -> None:
+        """Ids of pieces, each a pre-token, by the library's model; a line's end has none."""
+        tokenize, letters = self.model.tokenize, self.letters
+        ids: list[int] = []
+        ends = []
+        for p in fresh:
+            if p != "\n":
+                coded = p if p.isascii() else "".join([letters[b] for b in p.encode()])
+                ids += [t.id for t in tokenize(coded)]
+            ends.append(len(ids))
+        self.pieces.add(fresh, np.diff(np.array(ends, np.int64), prepend=0), np.array(ids, np.uint32))
+
+    def _learn_odd(self, words: list[str]) -> None:
+        """Words of any letters, encoded as one text with a mark between them that none of them holds;
+        what begins with a blank is a whole text."""
+        plain = [w for w in words if MARK not in w and w[0] != " "]
+        ids = self._whole(f" {MARK} ".join([*plain, ""]))
         ends = np.flatnonzero(ids == self.mark_id)
-        if len(ends) == len(plain):
-            self._cut(plain, ids, ends, ends + 1)
+        if plain and len(ends) == len(plain):
+            cuts = np.concatenate([[-1], ends])
+            self.odd.add(plain, np.diff(cuts) - 1, np.delete(ids, ends))
         else:  # the mark is not an id of its own here
             plain = []
-        self.cached.update((w, self._whole(w)) for w in {*words} - {*plain})
+        rest = list({*words}.difference(plain))
+        alone = [self._whole(w[1:] if w[0] == " " else w) for w in rest]
+        if rest:
+            self.odd.add(rest, np.array([len(x) for x in alone]), np.concatenate(alone))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Small batches joined to some of about GATHER bytes."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= GATHER:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def write_ids(
@@ -255,10 +391,11 @@ def write_ids(
     """The table of parts, written: (section, part, doc_ids, n_ids, blob), in ascending order of
     documents by (section, part, place).
 
-    Sections are ranges of the document id. A part ends at the first document that brings it to
-    ``part_ids`` ids; a document is never split. Null and empty texts have the end id alone; null ids
-    come first; documents of one id stand together, ordered by text. A group of rows that share one
-    id lies in one section, cut into as many parts as it needs. An empty table has no parts.
+    Sections are ranges of the document id and, where ids are equal, of the text's hash. A part ends at
+    the first document that brings it to ``part_ids`` ids; a document is never split. Null and empty texts
+    have the end id alone; null ids come first; documents of one id stand together, ordered by the hash
+    of the text. Repeated rows lie in one section, cut into as many parts as they need. Ids may be of any
+    type that Spark orders. Other columns don't count. An empty table has no parts.
     """
     total = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
     sections = max(8, -(-total // partition_bytes))
@@ -268,65 +405,74 @@ def write_ids(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_object(("encoder", tokenizer), lambda: Encoder(tokenizer))
         names: list = []
-        held: list[bytes] = []
-        size = part = 0
+        held: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        part = section = total = 0
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), "<u4")
-            ends = np.cumsum([len(x) // 4 for x in held])
-            row = {"section": [section], "part": [part], "doc_ids": [list(names)], "n_ids": [len(ids)], "blob": [pack(ids, ends, max(encoder.terminals, end_id + 1))]}
+            ids = np.concatenate(held)
+            row = {"section": [section], "part": [part], "doc_ids": [list(names)], "n_ids": [len(ids)], "blob": [pack(ids, np.cumsum(np.concatenate(sizes)), max(encoder.terminals, end_id + 1))]}
             return pa.RecordBatch.from_pydict(row, schema=out_schema)
 
-        for batch in batches:
-            section = batch.column(2)[0].as_py() if batch.num_rows else 0
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for name, x in zip(batch.column(0).to_pylist(), encoder.encode(texts, end_id), strict=True):
-                names.append(name)
-                held.append(x)
-                size += len(x) // 4
-                if size >= part_ids:
+        for batch in _gathered(batches):
+            section = batch.column(2)[0].as_py()
+            own = batch.column(0).to_pylist()
+            ids, counts = encoder.encode([t or "" for t in batch.column(1).to_pylist()], end_id)
+            ends = np.cumsum(counts)
+            begin = 0  # documents of the batch that are in parts already
+            while begin < len(own):
+                done = int(ends[begin - 1]) if begin else 0
+                upto = min(int(np.searchsorted(ends, done + part_ids - total)) + 1, len(own))
+                names += own[begin:upto]
+                held.append(ids[done : ends[upto - 1]])
+                sizes.append(counts[begin:upto])
+                total += int(ends[upto - 1]) - done
+                begin = upto
+                if total >= part_ids:
                     yield flush()
-                    names, held, size, part = [], [], 0, part + 1
+                    names, held, sizes, total, part = [], [], [], 0, part + 1
         if held:
             yield flush()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out_schema = pa.schema([("section", pa.int32()), ("part", pa.int32()), ("doc_ids", pa.list_(_arrow_kind(kind))), ("n_ids", pa.int64()), ("blob", pa.binary())])
+    out_schema = pa.schema([("section", pa.int32()), ("part", pa.int32()), ("doc_ids", pa.list_(to_arrow_type(docs.schema[id_col].dataType))), ("n_ids", pa.int64()), ("blob", pa.binary())])
     tagged = ordered.select(id_col, text_col, F.spark_partition_id().alias("section"))
     return written(map_arrow(tagged, run, f"section int, part int, doc_ids array<{kind}>, n_ids bigint, blob binary"), "token-ids")
 
 
-def _arrow_kind(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def read_ids(parts: DataFrame, *, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
-    """(id, start, n_tokens, ids_crc32[, ids]) per document, decoded from the written parts."""
-    spark = parts.sparkSession
-    sums = parts.groupBy("section").agg(F.sum("n_ids").alias("n")).orderBy("section").collect()
-    at, rows = 0, []
-    for r in sums:
-        rows.append({"section": r["section"], "base": at})
-        at += r["n"]
-    base = small_table(spark, rows, "section int, base bigint")
-    inside = F.coalesce(F.sum("n_ids").over(Window.partitionBy("section").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    heads = parts.select("section", "part", "n_ids").withColumn("inside", inside).join(F.broadcast(base), "section")
-    heads = heads.select("section", "part", (F.col("base") + F.col("inside")).alias("start"))
-    kind = parts.schema["doc_ids"].dataType.elementType.simpleString()
+    """(id, start, n_tokens, ids_crc32[, ids]) per document, decoded from the written parts.
+
+    Parts are decoded where they are read; only narrow rows are joined with the places at which parts
+    start, which are added up section by section inside chunks of sections, and over chunks.
+    """
+    chunk = F.floor(F.col("section") / SECTIONS_A_CHUNK)
+    sizes = parts.select("section", "part", "n_ids", chunk.alias("chunk"))
+    ahead = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    chunks = sizes.groupBy("chunk").agg(F.sum("n_ids").alias("n_ids")).withColumn("base", ahead(Window.orderBy("chunk"))).drop("n_ids")
+    heads = sizes.withColumn("inside", ahead(Window.partitionBy("chunk").orderBy("section", "part"))).join(F.broadcast(chunks), "chunk")
+    heads = heads.select("section", "part", (F.col("base") + F.col("inside")).alias("head"))
+    id_kind = parts.schema["doc_ids"].dataType.elementType
+    out_kind = to_arrow_type(id_kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, names, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for section, number, names, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 part = Part(blob)
                 ids = part.ids(0, len(part)).astype("<u4")
                 begins = np.concatenate([[0], part.ends[:-1]])
-                crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begins.tolist(), part.ends.tolist(), strict=True)]
-                columns = [pa.array(names, _arrow_kind(kind)), pa.array(begins + start), pa.array(part.ends - begins), pa.array(crcs, pa.int64())]
-                heads = [id_col, "start", "n_tokens", "ids_crc32"]
+                raw = memoryview(ids.tobytes())
+                cuts = list(zip(begins.tolist(), part.ends.tolist(), strict=True))
+                crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in cuts]
+                n = len(names)
+                columns = [pa.array(names, out_kind), pa.array([section] * n, pa.int32()), pa.array([number] * n, pa.int32()), pa.array(begins), pa.array(part.ends - begins), pa.array(crcs, pa.int64())]
+                heads = ["own_id", "section", "part", "begin", "n_tokens", "ids_crc32"]
                 if keep_ids:
-                    columns.append(pa.array([ids[a:b].tolist() for a, b in zip(begins.tolist(), part.ends.tolist(), strict=True)], pa.list_(pa.int64())))
+                    columns.append(pa.array([ids[a:b].tolist() for a, b in cuts], pa.list_(pa.int64())))
                     heads.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=heads)
 
-    schema = f"{id_col} {kind}, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * keep_ids
-    return map_arrow(parts.join(heads, ["section", "part"]).select("start", "doc_ids", "blob"), run, schema)
+    schema = f"own_id {id_kind.simpleString()}, section int, part int, begin bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * keep_ids
+    decoded = map_arrow(parts.select("section", "part", "doc_ids", "blob"), run, schema)
+    out = decoded.join(heads, ["section", "part"])
+    return out.select(F.col("own_id").alias(id_col), (F.col("head") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if keep_ids else []))

@@ -80,35 +80,98 @@ def test_query_stores_prefixes(spark, docs, tmp_path, monkeypatch):
         assert pt.tokens_until(r["prefix_steps"], 10**9) == r["n_tokens"] and pt.longest_within(r["prefix_steps"], 1024) == r["fit_chars"]
 
 
+def test_wide_steps(library, counter, monkeypatch):
+    monkeypatch.setattr(pt, "MOST", 0)
+    narrow = pt.PrefixCounter(BYTES)
+    for t in ODD[5:12]:
+        steps = narrow.steps(t)
+        assert steps.dtype == np.int64 and (steps == counter.steps(t)).all()
+        assert pt.tokens_until(pt._stored(steps), 10**9) == len(library.encode(t, add_special_tokens=False).ids)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 9), max_size=300), st.integers(0, 300), st.integers(0, 300))
 def test_part_round_trip(ids, a, b):
     x = np.array(ids, np.uint32)
     cuts = sorted({0, len(x), min(a, len(x)), min(b, len(x))})
-    part = repair.Part(repair.pack(x, np.array(cuts[1:] or [len(x)]), 10, least=2, rules_a_round=3, rounds=20))
+    part = repair.Part(repair.pack(x, np.array(cuts[1:] or [len(x)]), 10, least=2))
     assert len(part) == len(x) and (part.ids(0, len(x)) == x).all()
     lo, hi = sorted((min(a, len(x)), min(b, len(x))))
     assert (part.ids(lo, hi) == x[lo:hi]).all()
+    counts = np.unique(np.stack([part.seq[:-1], part.seq[1:]]), axis=1, return_counts=True)[1]
+    assert len(part.seq) < 4 or counts.max() < 3  # overlapping occurrences count too
+
+
+def plain_repair(x, terminals, least):
+    """One most frequent pair at a time."""
+    seq, rules = x.tolist(), []
+    while True:
+        counts = {}
+        for p in zip(seq, seq[1:]):  # noqa: B905
+            counts[p] = counts.get(p, 0) + 1
+        pair = max(counts, key=counts.get, default=None)
+        if pair is None or counts[pair] < least:
+            return seq, rules
+        rules.append(pair)
+        out, i = [], 0
+        while i < len(seq):
+            if seq[i : i + 2] == list(pair):
+                out.append(terminals + len(rules) - 1)
+                i += 2
+            else:
+                out.append(seq[i])
+                i += 1
+        seq = out
+
+
+@pytest.mark.parametrize("kind", ["skewed", "passages", "uniform"])
+def test_compression_is_near_that_of_plain_repair(kind):
+    rng = np.random.default_rng(4)
+    x = rng.zipf(1.4, 6000) % 300 if kind == "skewed" else rng.integers(0, 40, 6000)
+    if kind == "passages":
+        for at in range(0, 6000, 300):
+            x[at : at + 120] = x[:120]
+    seq, rules = repair.compress(x.astype(np.uint32), 300, least=4)
+    want, want_rules = plain_repair(x, 300, 4)
+    assert len(seq) + 2 * len(rules) <= 1.1 * (len(want) + 2 * len(want_rules))
 
 
 def test_part_compresses_and_checks():
     x = np.array([1, 2, 3, 4] * 5000, np.uint32)
-    blob = repair.pack(x, np.array([len(x)]), 100, rounds=20)
+    blob = repair.pack(x, np.array([len(x)]), 100)
     part = repair.Part(blob)
     assert len(part.seq) < 200 and max(part.lengths) > 50 and (part.document(0) == x).all()
-    wide = np.arange(70000, dtype=np.uint32)
-    assert (repair.Part(repair.pack(wide, np.array([70000]), 70000)).ids(5, 69999) == wide[5:69999]).all()
+    for terminals in (70000, 1 << 25):
+        wide = np.arange(70000, dtype=np.uint32) + terminals - 70000
+        assert (repair.Part(repair.pack(wide, np.array([70000]), terminals)).ids(5, 69999) == wide[5:69999]).all()
     for bad in (b"XXXX" + blob[4:], blob + b"x"):
         with pytest.raises(ValueError, match="part"):
             repair.Part(bad)
 
 
+LETTERS = "abZÄéßÉıİſΣςàα日́̇K 0٣'’sll.,!<|>%$_-\t\u00a0\x1c\x01\u200d"
+
+
 def test_encoder_equals_library():
     library, encoder = Tokenizer.from_file(WORDS), repair.Encoder(WORDS)
-    some = ODD + texts(5, 100) + ["a\x01b \x01 c", "İstanbul Ǆ É́ ΑΣ ΑΣ.", "x<|startoftext|> y"]
+    assert encoder.by_piece
+    rng = random.Random(8)
+    fuzz = ["".join(rng.choice(LETTERS) for _ in range(rng.randint(1, 30))) for _ in range(5000)]
+    some = ODD + texts(5, 100) + ["a\x01b \x01 c", "İstanbul Ǆ É́ ΑΣ ΑΣ.", "TARİHİ. İ. İ, x", "x<|startoftext|> y", "Ünïcödé%%% it's don't IT'S 12.5"] + fuzz
     for _ in range(2):
-        got = encoder.encode(some, 1)
-        assert got == [struct.pack(f"<{len(i) + 1}I", *i, 1) for i in (library.encode(t, add_special_tokens=False).ids for t in some)]
+        for i in range(0, len(some), 700):
+            ids, sizes = encoder.encode(some[i : i + 700], 1)
+            want = [library.encode(t, add_special_tokens=False).ids + [1] for t in some[i : i + 700]]
+            assert sizes.tolist() == [len(w) for w in want]
+            assert ids.tolist() == [x for w in want for x in w]
+
+
+def test_encoder_without_the_known_steps():
+    library, encoder = Tokenizer.from_file(WORDS), repair.Encoder(WORDS)
+    encoder.by_piece = encoder.by_word = False
+    some = ODD + texts(5, 50)
+    ids, _ = encoder.encode(some, 1)
+    assert ids.tolist() == [x for t in some for x in [*library.encode(t, add_special_tokens=False).ids, 1]]
 
 
 @pytest.mark.parametrize("part_ids", [1 << 20, 200])
@@ -128,3 +191,10 @@ def test_files(spark, docs, empty, part_ids):
         assert r["ids_crc32"] == zlib.crc32(struct.pack(f"<{len(r['ids'])}I", *r["ids"]))
         at += r["n_tokens"]
     assert repair.read_ids(repair.write_ids(empty, WORDS)).count() == 0
+
+
+def test_ids_of_any_type_and_repeated_ids(spark):
+    rows = spark.sql("select cast(id % 3 as decimal(9,2)) as doc_id, concat('word ', id) as text, 1 as section, 2 as part from range(30) union all select null, null, 1, 2")
+    got = repair.read_ids(repair.write_ids(rows, WORDS, part_ids=20)).orderBy("start").collect()
+    assert len(got) == 31 and got[0]["doc_id"] is None and got[0]["n_tokens"] == 1
+    assert [r["start"] for r in got[1:]] == np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()
