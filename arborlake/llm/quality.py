@@ -1,18 +1,21 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule compares one statistic of a text with a cutoff. A labelled holdout selects, for every
-stratum (language) and rule, the strictest cutoff of a fixed grid whose false rejection rate is
-proved small: the exact binomial tail P(Bin(n, risk) <= false rejections) is a p-value for "the
-true rate exceeds the risk" (equal to a Clopper-Pearson bound), and all strata, rules and cutoffs
-share the error budget by Bonferroni's correction, so that with probability 1 - delta every
-selected rule rejects at most ``risk`` of the good documents of its stratum.
-
-Everything is one DataFrame plan: statistics, tails, selection and verdict.
+Each rule compares one statistic of a text with a cutoff; a text is rejected if it fails any rule. For
+every stratum (language), a labelled holdout decides how strict the rules are, so that few good documents
+are rejected: good documents of one lot of the holdout propose a path of settings, from mild to strict, and
+those of the other lots prove them. A setting is proved if the exact binomial tail P(Bin(n, risk) <=
+false rejections), the p-value for "all rules together reject more than the risk" (equal to a
+Clopper-Pearson bound), is at most the level. Along the path settings are tested one after the other at
+the full level, up to the first that fails (fixed-sequence testing), and strata share the error budget
+by Bonferroni's correction. So with probability 1 - delta the chosen settings of all strata reject at most
+``risk`` of the good documents of their stratum, each.
+
+Everything is one DataFrame plan: statistics, path, tails, selection and verdict.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborlake.llm.common import blank_words, free_name, let, small_table, written
@@ -28,6 +31,12 @@ RULES: dict[str, tuple[str, str, list[float]]] = {
     "long_words": ("word_chars", "n_words", [40.0, 25.0, 20.0, 16.0, 14.0, 12.0, 10.0, 9.0]),
     "short_words": ("n_words", "word_chars", [0.9, 0.7, 0.5, 0.4, 0.35, 0.3, 0.27, 0.25]),
 }
+STATISTICS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
+#: The path, as (share, back): a rule's cutoff lies ``back`` places before the strictest one that rejects at
+#: most this share of the proposing lot.
+PATH = [(0.0, 3), (0.0, 2), (0.0, 1), (0.0, 0), (0.002, 0), (0.004, 0), (0.006, 0), (0.01, 0), (0.015, 0), (0.02, 0)]
+#: A document proposes if the first hex digit of its id's MD5 is below this; a quarter do.
+PROPOSING = "4"
 #: Bits of a sort key that hold a word's place; longer texts take the plain way.
 PLACE_BITS = 22
 
@@ -71,8 +80,7 @@ def text_statistics(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_words``, ``word_chars``, ``n_symbols``, ``n_lines`` (lines with a word),
     ``n_dup_lines`` and ``n_repeat_words``; existing columns of those names are replaced. Null and
     empty texts have zeros."""
-    names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
-    docs = docs.drop(*names)
+    docs = docs.drop(*STATISTICS)
     words, lines, text = free_name(docs, "words", "lines", "plain")
     plain = F.coalesce(F.col(text_col), F.lit(""))
     trimmed = F.filter(F.split(plain, "\n"), lambda x: F.regexp_like(x, F.lit("[^\\x20\\x09-\\x0D]")))
@@ -125,22 +133,44 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), tail))
 
 
-def select_cutoffs(holdout: DataFrame, stratum: str, good: Column, *, risk: float = 0.006, delta: float = 0.05, strata: int = 5) -> DataFrame:
-    """(stratum, rule, cutoff, n, rejected, p_value): the strictest proven cutoff per stratum and rule.
-
-    ``holdout`` has the statistics of :func:`text_statistics`; rows where ``good`` isn't true don't
-    count. Bonferroni's divisor is strata times rules times cutoffs, known beforehand. A stratum
-    with too few good rows proves nothing and so gets no cutoff: its documents are kept.
-    """
-    grid = [{"rule": r, "step": i, "cutoff": c} for r, (_, _, cs) in RULES.items() for i, c in enumerate(cs)]
-    level = delta / (strata * len(grid))
-    counts = [F.sum(_fails(r, F.lit(g["cutoff"])).cast("long")).alias(f"r{j}") for j, g in enumerate(grid) for r in [g["rule"]]]
-    wide = holdout.where(good).groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("n"), *counts)
-    entries = F.array(*[F.struct(F.lit(g["rule"]).alias("rule"), F.lit(g["step"]).alias("step"), F.lit(g["cutoff"]).alias("cutoff"), F.col(f"r{j}").alias("rejected")) for j, g in enumerate(grid)])
-    long = wide.select("stratum", "n", F.inline(entries))
-    proven = long.withColumn("p_value", binomial_tail(F.col("n"), F.col("rejected"), risk)).where(F.col("p_value") <= level)
-    best = proven.groupBy("stratum", "rule").agg(F.max_by(F.struct("cutoff", "n", "rejected", "p_value"), "step").alias("b"))
-    return best.select("stratum", "rule", "b.*")
+def proposed_path(proposing: DataFrame, stratum: str) -> DataFrame:
+    """(stratum, path): for every entry of PATH a struct of cutoffs by rule, null where even the mildest
+    cutoff rejects too many. ``proposing`` has good documents alone, with their statistics."""
+    grid = [(r, c) for r, (_, _, cs) in RULES.items() for c in cs]
+    counts = [F.sum(_fails(r, F.lit(c)).cast("long")).alias(f"r{j}") for j, (r, c) in enumerate(grid)]
+    wide = proposing.groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("n"), *counts)
+    settings = []
+    for share, back in PATH:
+        cutoffs = []
+        for rule, (_, _, values) in RULES.items():
+            # Cutoffs go from mild to strict and their counts never fall: those that fit come first.
+            fits = [(F.col(f"r{j}") <= F.floor(F.lit(share) * F.col("n"))).cast("int") for j, (r, _) in enumerate(grid) if r == rule]
+            cutoffs.append(F.get(F.array(*map(F.lit, values)), sum(fits[1:], fits[0]) - 1 - back).alias(rule))
+        settings.append(F.struct(*cutoffs))
+    return wide.select("stratum", F.array(*settings).alias("path"))
+
+
+def select_cutoffs(holdout: DataFrame, stratum: str, *, proposes: Column, strata: list[str], risk: float = 0.03, delta: float = 0.05) -> DataFrame:
+    """(stratum, step, n, rejected, p_value, cutoffs): of each stratum the last setting that is proved, none
+    where there are too few good documents to prove the first. ``holdout`` has good documents alone."""
+    own = F.col(stratum)
+    path = proposed_path(holdout.where(proposes), stratum)
+    proving = holdout.where(~proposes).join(F.broadcast(path.withColumnRenamed("stratum", "own")), own == F.col("own"))
+    counts = [F.sum(_fails_any(F.get("path", j)).cast("long")).alias(f"k{j}") for j in range(len(PATH))]
+    tested = proving.groupBy(own.alias("stratum"), "path").agg(F.count("*").alias("n"), *counts)
+    steps = F.array(*[F.struct(F.lit(j).alias("step"), F.col(f"k{j}").alias("rejected"), F.get("path", j).alias("cutoffs")) for j in range(len(PATH))])
+    tested = tested.select("stratum", "n", F.inline(steps)).withColumn("p_value", binomial_tail(F.col("n"), F.col("rejected"), risk))
+    failed = F.min(F.when(F.col("p_value") > delta / len(strata), F.col("step"))).over(Window.partitionBy("stratum"))
+    proved = tested.withColumn("failed", failed).where(F.col("failed").isNull() | (F.col("step") < F.col("failed")))
+    best = proved.groupBy("stratum").agg(F.max_by(F.struct("step", "n", "rejected", "p_value", "cutoffs"), "step").alias("b"))
+    return best.select("stratum", "b.*")
+
+
+def _fails_any(setting: Column) -> Column:
+    out = F.lit(False)
+    for rule in RULES:
+        out = out | _fails(rule, setting[rule])
+    return out
 
 
 def _fails(rule: str, cutoff: Column) -> Column:
@@ -161,8 +191,9 @@ def quality_verdicts(
 ) -> DataFrame:
     """``docs`` less the text, with the statistics, ``base_failed``, ``failed_rules`` and ``kept``.
 
-    ``risk`` bounds the share of a stratum's good documents that the rules reject together; each
-    rule gets an equal part of it, so that the bound holds for their union.
+    ``risk`` bounds the share of a stratum's good documents that the rules reject together, all rules in
+    one, with probability 1 - ``delta`` for all strata at once. A stratum whose labels prove nothing has no
+    cutoffs: its documents are kept.
 
     Labels (id, quality) mark good documents with 1. The holdout is every labelled document that
     passes the base rules; a document labelled twice counts as good only if all its labels say so.
@@ -171,18 +202,21 @@ def quality_verdicts(
     without words fail the base rules. Equal rows get equal verdicts; an empty table gives no rows.
     """
     docs = docs.drop("base_failed", "failed_rules", "kept")
-    (group,) = free_name(docs, "stratum")
+    group, own, cut = free_name(docs, "stratum", "own", "cutoffs")
     name = F.when(F.col(stratum_col).isin(*strata), F.col(stratum_col)).otherwise(F.lit("other"))
     stats = text_statistics(docs, text_col=text_col).drop(text_col).withColumn(group, name).withColumn("base_failed", base_failed())
     stats = written(stats, "quality-statistics")
 
     known = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(id_col).agg(F.min("quality").alias("own_quality"))
-    holdout = stats.join(known.where("own_quality = 1"), id_col, "left_semi")
-    cutoffs = select_cutoffs(holdout, group, ~F.col("base_failed"), risk=risk / len(RULES), delta=delta, strata=len(strata) + 1)
-    pivot = cutoffs.groupBy(F.col("stratum").alias("own")).agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
-    table = small_table(docs.sparkSession, [{"own": s} for s in [*strata, "other"]], "own:string").join(pivot, "own", "left")
-    judged = stats.join(F.broadcast(table), F.col(group) == F.col("own"), "left")
-    failed = F.array_compact(F.array(*[F.when(_fails(r, F.col(f"cut_{r}")), F.lit(r)) for r in RULES]))
+    proposes = F.md5(F.col(id_col).cast("string")) < F.lit(PROPOSING)
+    holdout = stats.where(~F.col("base_failed")).join(known.where("own_quality = 1").select(id_col), id_col, "left_semi")
+    holdout = holdout.select(F.col(group).alias("holdout_stratum"), proposes.alias("proposes"), *STATISTICS)
+    names = [*strata, "other"]
+    cutoffs = select_cutoffs(holdout, "holdout_stratum", proposes=F.col("proposes"), strata=names, risk=risk, delta=delta)
+    table = small_table(docs.sparkSession, [{"o": s} for s in names], "o:string").select(F.col("o").alias(own))
+    table = table.join(cutoffs.select("stratum", F.col("cutoffs").alias(cut)), F.col(own) == F.col("stratum"), "left").drop("stratum")
+    judged = stats.join(F.broadcast(table), F.col(group) == F.col(own), "left")
+    failed = F.array_compact(F.array(*[F.when(_fails(r, F.col(cut)[r]), F.lit(r)) for r in RULES]))
     judged = judged.withColumn("failed_rules", failed)
     kept = ~F.col("base_failed") & (F.size("failed_rules") == 0)
-    return judged.withColumn("kept", kept).drop(group, "own", *[f"cut_{r}" for r in RULES])
+    return judged.withColumn("kept", kept).drop(group, own, cut)

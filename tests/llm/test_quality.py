@@ -1,4 +1,6 @@
+import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -52,6 +54,63 @@ def test_binomial_tail(spark):
         assert math.isclose(r["p"], want, rel_tol=1e-9)
 
 
+def brute_cutoffs(rows, risk=0.03, level=0.01):
+    """{stratum: (step, n, rejected, cutoffs)} from (stratum, proposes, statistics by name)."""
+
+    def fails(rule, cutoff, st):
+        over, under, _ = quality.RULES[rule]
+        return cutoff is not None and st[under] > 0 and st[over] > cutoff * st[under]
+
+    out = {}
+    for stratum in {s for s, _, _ in rows}:
+        ours = [st for s, p, st in rows if s == stratum and p]
+        proving = [st for s, p, st in rows if s == stratum and not p]
+        for step, (share, back) in enumerate(quality.PATH):
+            setting = {}
+            for rule, (_, _, values) in quality.RULES.items():
+                fit = [c for c in values if sum(fails(rule, c, st) for st in ours) <= math.floor(share * len(ours))]
+                setting[rule] = fit[len(fit) - 1 - back] if len(fit) > back else None
+            k, n = sum(any(fails(r, c, st) for r, c in setting.items()) for st in proving), len(proving)
+            p = 1.0 if k >= n * risk else sum(math.comb(n, i) * risk**i * (1 - risk) ** (n - i) for i in range(k + 1))
+            if not ours or p > level:
+                break
+            out[stratum] = (step, n, k, setting)
+    return out
+
+
+def test_cutoffs_against_brute_force(spark):
+    rng = random.Random(9)
+    rows, judged = [], []
+    for i in range(2600):
+        stratum = rng.choices(["en", "de", "fr", "it"], [9, 3, 2, 1])[0]
+        words = [f"w{rng.randrange(500)}" * rng.choice((1, 1, 3)) for _ in range(rng.randint(50, 90))]
+        words += ["#|$"[i % 3]] * rng.choice((0, 0, 0, 0, 5, 30 if i % 97 == 0 else 0))
+        text = " ".join(words) + "\nsame line" * rng.choice((0, 0, 0, rng.randrange(4)))
+        rows.append((i, text, stratum))
+        st = dict(zip(NAMES, brute(text), strict=True))
+        if not (st["n_words"] < 50 or 100 * st["n_repeat_words"] > 50 * st["n_words"]):
+            digit = hashlib.md5(str(i).encode()).hexdigest()[0]
+            judged.append((stratum if stratum != "it" else "other", digit < quality.PROPOSING, st))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(2600)], "doc_id bigint, quality int")
+    want = brute_cutoffs(judged)
+    assert {"en", "de"} <= want.keys() and len({w[0] for w in want.values()}) > 1
+    seen = []
+    real = quality.select_cutoffs
+    try:
+        quality.select_cutoffs = lambda *a, **k: seen.append(real(*a, **k)) or seen[-1]
+        kept = {r["doc_id"]: r["failed_rules"] for r in quality.quality_verdicts(df, labels).collect()}
+    finally:
+        quality.select_cutoffs = real
+    got = {r["stratum"]: (r["step"], r["n"], r["rejected"], r["cutoffs"].asDict()) for r in seen[0].collect()}
+    assert got == want
+    for i, text, stratum in rows:
+        setting = want.get(stratum if stratum != "it" else "other", (0, 0, 0, {}))[3]
+        st = dict(zip(NAMES, brute(text), strict=True))
+        failed = [r for r, (over, under, _) in quality.RULES.items() if setting.get(r) is not None and st[under] and st[over] > setting[r] * st[under]]
+        assert kept[i] == failed
+
+
 def test_cutoffs_and_verdicts(spark, docs, clashing, empty):
     rows = [(i, " ".join(f"word{(i * 7 + j * j) % 997}" for j in range(80)) + (" ####" * 30 if i % 10 == 0 else ""), "en" if i % 2 else "de") for i in range(4000)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
