@@ -53,6 +53,40 @@ def free_name(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def bit_map(hashes: DataFrame, bits: int) -> Column:
+    """A map of ``bits`` bits (a power of two) of a frame's only column, of hashes, as a literal. The driver
+    holds ``bits / 64`` longs, however many hashes there are."""
+    place = F.col(hashes.columns[0]).bitwiseAND(F.lit(bits - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    longs = [0] * (bits // 64)
+    for r in hashes.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_or(one).alias("bits")).collect():
+        longs[r["word"]] = r["bits"]
+    return F.from_json(F.lit(json.dumps(longs)), F.lit("array<bigint>")) if any(longs) else F.lit(None).cast("array<bigint>")
+
+
+def in_bit_map(map_: Column, h: Column, bits: int) -> Column:
+    """Whether a hash may be in the map: true for every one that is, and for some that share its bit."""
+    place = h.bitwiseAND(F.lit(bits - 1))
+    return F.coalesce(F.bit_get(F.get(map_, F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))
+
+
+#: A key is hot if it has more than one row in so many; there are fewer hot keys than this.
+HOT = 1_000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """``rows`` left-joined with ``table`` on ``key``, which is unique there, without ``weight``, the number
+    of rows that have the key. Hot keys are met by a broadcast of less than HOT rows, the others, none of
+    which has more than one row in HOT, by a shuffle, so no key fills a task however frequent it is."""
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    (mark,) = free_name(table.join(rows.limit(0), key, "left"), "hot")
+    is_hot = F.col(weight) * HOT > total
+    hot, cold = table.where(is_hot).drop(weight), table.where(~is_hot).drop(weight)
+    met = rows.join(F.broadcast(hot.withColumn(mark, F.lit(True))), key, "left")
+    rest = met.where(F.col(mark).isNull()).select(*rows.columns).join(cold, key, "left")
+    return met.where(mark).drop(mark).unionByName(rest)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once: a lambda variable can't be inlined again."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -21,16 +21,15 @@ like the article in both respects, so no style tree can tell them: they go by th
 from __future__ import annotations
 
 import hashlib
-import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.llm.common import map_arrow, written
+from arborlake.llm.common import bit_map, in_bit_map, map_arrow, written
 
 #: HTML's elements by what they are for.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -273,10 +272,6 @@ def judged(tree: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return low_open.unionByName(tree.where(score[SUSPECT] >= threshold).select("host", "path", F.lit(SUSPECT).alias("zone")))
 
 
-def _map_place(host: Column, path: Column, zone: Column) -> Column:
-    return F.xxhash64(host, path, zone).bitwiseAND(F.lit(MAP_BITS - 1))
-
-
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD) -> DataFrame:
     """(id, url, text, n_chars, removed) per row of ``pages``: blocks in page order, one to a line.
 
@@ -308,14 +303,9 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
 
     nodes = parsed.select("host", "page", F.inline("tree")).distinct()
     other = written(judged(style_tree(nodes), threshold), "html-exceptions")
-    place = _map_place(F.col("host"), F.col("path"), F.col("zone"))
-    words = other.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
-    longs = [0] * (MAP_BITS // 64)
-    for r in words.collect():  # MAP_BITS / 64 rows at most
-        longs[r["word"]] = r["bits"]
-    bits = F.from_json(F.lit(json.dumps(longs)), F.lit("array<bigint>"))
-    own = F.transform(F.filter("blocks", lambda b: b["zone"] > 0), lambda b: _map_place(F.col("host"), b["path"], b["zone"]))
-    hit = F.exists(own, lambda p: F.bit_get(F.get(bits, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1) if any(longs) else F.lit(False)
+    map_ = bit_map(other.select(F.xxhash64("host", "path", "zone")), MAP_BITS)
+    own = F.transform(F.filter("blocks", lambda b: b["zone"] > 0), lambda b: F.xxhash64(F.col("host"), b["path"], b["zone"]))
+    hit = F.exists(own, lambda h: in_bit_map(map_, h, MAP_BITS))
     mapped = parsed.select("rid", "id", "url", "host", "blocks").withColumn("hit", hit)
 
     none = F.array().cast("array<struct<path:bigint,zone:int>>")

@@ -1,27 +1,31 @@
 """Mixing sources to target weights as a min-cost flow with convex repetition costs.
 
-Documents are aggregated by membership pattern (the set of sources a document belongs to). A
-flow network then routes words: every pattern may be used once at no cost, a second time at
-cost 1, a third at cost 2 and so on, and each source wants its target. The cheapest full flow
-says how many words of every pattern serve which source in which round. Documents are selected
-by a seeded order: a round takes the documents whose key is below the cut where the words sum
-up to the flow. The cut is found in two steps over key blocks, so no source is ever in one task,
-and applying it is a join with a table of a few rows: the texts are never shuffled.
+A text may stand in several sources. Documents are aggregated by membership pattern: the set of sources
+in which their text occurs. A flow network then routes words from patterns to sources, each of which wants
+its target. A pattern's words cost nothing as long as each text is taken once, in whichever source, more
+where a text is taken again through another copy, and more again where a document is repeated; so the
+cheapest full flow repeats as little as the targets allow. Documents are selected by a seeded order: those
+of a pattern and source whose key lies behind the source's begin on a circle of keys, up to the cut where
+the words sum up to the flow; the sources of a pattern begin one behind the other, so that they take
+different texts. The cut is found in two steps over key blocks, so no source is ever in one task.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 import math
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborlake.llm.common import blank_words, free_name, small_table, written
+from arborlake.llm.common import bit_map, blank_words, free_name, in_bit_map, join_hot, small_table, written
 
 #: Fixed values of the weighting rule: weights repeat over the ordered sources.
 WEIGHTS = (5, 2, 1)
+#: Bits of a key on the circle, and of the map of texts that stand in several sources.
+KEY_BITS, MAP_BITS = 62, 1 << 20
 
 
 def source_targets(sizes: dict[str | None, int], *, share: Fraction = Fraction(3, 2), most: int = 2, weights: tuple[int, ...] = WEIGHTS) -> dict[str | None, Fraction]:
@@ -44,178 +48,263 @@ def source_targets(sizes: dict[str | None, int], *, share: Fraction = Fraction(3
     return target
 
 
-def min_cost_flow(capacity: dict, members: dict, quota: dict, rounds: int) -> dict[tuple, int]:
-    """(pattern, round, source) -> words, of a largest flow of least cost.
+class Network:
+    """A flow network with integral capacities and small integral costs."""
 
-    Successive shortest paths with potentials; arcs are S -> pattern (one per round, cost round),
-    pattern -> its sources (cost 0) and source -> T (its quota). The network has a node per pattern
-    and source, not per document.
-    """
-    patterns, sources = list(capacity), list(quota)
-    node = {("p", p): i + 2 for i, p in enumerate(patterns)}
-    node |= {("s", s): i + 2 + len(patterns) for i, s in enumerate(sources)}
-    graph: list[list[list]] = [[] for _ in range(len(node) + 2)]
-
-    def arc(u: int, v: int, room: int, cost: int) -> list:
-        a = [v, room, cost, len(graph[v])]
-        graph[u].append(a)
-        graph[v].append([u, 0, -cost, len(graph[u]) - 1])
-        return a
-
-    first = {(p, k): arc(0, node["p", p], capacity[p], k) for p in patterns for k in range(rounds)}
-    middle = {(p, s): arc(node["p", p], node["s", s], rounds * capacity[p], 0) for p in patterns for s in members[p] if s in quota}
-    for s in sources:
-        arc(node["s", s], 1, quota[s], 0)
-    potential = [0] * len(graph)
-    while True:
-        dist, back = [math.inf] * len(graph), [None] * len(graph)
-        dist[0], heap = 0, [(0, 0)]
+    def __init__(self, nodes: int) -> None:
+        self.out: list[list[int]] = [[] for _ in range(nodes)]
+        self.to: list[int] = []
+        self.room: list[int] = []
+        self.cost: list[int] = []
+
+    def arc(self, u: int, v: int, room: int, cost: int) -> int:
+        """The number of a new arc; its reverse is the next number."""
+        for a, b, r, c in ((u, v, room, cost), (v, u, 0, -cost)):
+            self.out[a].append(len(self.to))
+            self.to.append(b)
+            self.room.append(r)
+            self.cost.append(c)
+        return len(self.to) - 2
+
+    def fill(self, source: int, sink: int) -> None:
+        """A largest flow of least cost: for every distance from source to sink, of which there are few as
+        costs are small, the largest flow along shortest paths (primal-dual)."""
+        potential = [0] * len(self.out)
+        while True:
+            distance = self._distances(source, potential)
+            if distance[sink] == math.inf:
+                return
+            potential = [p + min(d, distance[sink]) for p, d in zip(potential, distance, strict=True)]
+            while level := self._levels(source, sink, potential):
+                self._block(source, sink, potential, level)
+
+    def _distances(self, source: int, potential: list[int]) -> list[float]:
+        distance: list[float] = [math.inf] * len(self.out)
+        distance[source], heap = 0, [(0, source)]
         while heap:
             d, u = heapq.heappop(heap)
-            if d > dist[u]:
+            if d > distance[u]:
                 continue
-            for a in graph[u]:
-                nd = d + a[2] + potential[u] - potential[a[0]]
-                if a[1] > 0 and nd < dist[a[0]]:
-                    dist[a[0]], back[a[0]] = nd, (u, a)
-                    heapq.heappush(heap, (nd, a[0]))
-        if dist[1] == math.inf:
-            break
-        potential = [p + (d if d < math.inf else 0) for p, d in zip(potential, dist, strict=True)]
-        push, v = math.inf, 1
-        while v:
-            u, a = back[v]
-            push, v = min(push, a[1]), u
-        v = 1
-        while v:
-            u, a = back[v]
-            a[1] -= push
-            graph[v][a[3]][1] += push
-            v = u
-    flow: dict[tuple, int] = {}
-    for p in patterns:
-        want = {s: rounds * capacity[p] - middle[p, s][1] for s in members[p] if s in quota}
-        for k in range(rounds):
-            room = capacity[p] - first[p, k][1]
-            for s, w in want.items():
-                x = min(room, w)
-                if x:
-                    flow[p, k, s] = x
-                    room -= x
-                    want[s] -= x
-    return flow
-
-
-def pattern_of(members: Column) -> Column:
-    """A text for a set of sources; null members count as a source of their own."""
-    each = F.transform(F.array_distinct(members), lambda s: F.when(s.isNull(), "~").otherwise(F.concat(F.lit("="), s)))
-    return F.to_json(F.array_sort(each))
-
-
-def _members(pattern: str) -> list[str | None]:
-    import json
-
-    return [None if s == "~" else s[1:] for s in json.loads(pattern)]
+            for a in self.out[u]:
+                v = self.to[a]
+                nd = d + self.cost[a] + potential[u] - potential[v]
+                if self.room[a] > 0 and nd < distance[v]:
+                    distance[v] = nd
+                    heapq.heappush(heap, (nd, v))
+        return distance
+
+    def _tight(self, a: int, u: int, potential: list[int]) -> bool:
+        return self.room[a] > 0 and self.cost[a] + potential[u] == potential[self.to[a]]
+
+    def _levels(self, source: int, sink: int, potential: list[int]) -> list[int] | None:
+        level = [-1] * len(self.out)
+        level[source], queue = 0, [source]
+        for u in queue:
+            for a in self.out[u]:
+                if level[self.to[a]] < 0 and self._tight(a, u, potential):
+                    level[self.to[a]] = level[u] + 1
+                    queue.append(self.to[a])
+        return level if level[sink] >= 0 else None
+
+    def _block(self, source: int, sink: int, potential: list[int], level: list[int]) -> None:
+        """Flow along paths of rising levels, until each has a full arc."""
+        at = [0] * len(self.out)
+        path: list[int] = []
+        u = source
+        while True:
+            if u == sink:
+                push = min(self.room[a] for a in path)
+                for a in path:
+                    self.room[a] -= push
+                    self.room[a ^ 1] += push
+                first = next(i for i, a in enumerate(path) if not self.room[a])
+                u = self.to[path[first] ^ 1]
+                del path[first:]
+                continue
+            while at[u] < len(self.out[u]):
+                a = self.out[u][at[u]]
+                if level[self.to[a]] == level[u] + 1 and self._tight(a, u, potential):
+                    break
+                at[u] += 1
+            else:
+                if not path:
+                    return
+                u = self.to[path.pop() ^ 1]
+                at[u] += 1
+                continue
+            path.append(a)
+            u = self.to[a]
+
+
+def min_cost_flow(distinct: dict, words: dict, quota: dict, most: int) -> dict[tuple, int]:
+    """(pattern, source) -> words, of a largest flow of least cost.
+
+    ``distinct`` are the words of each pattern's distinct texts, ``words`` those of all its documents in
+    each of its sources, (pattern, source) -> words. The first ``distinct`` words of a pattern cost nothing, the rest
+    of its documents 1, the k-th use of all documents k; of a source's documents the first use costs nothing
+    more, further ones 1. A source takes its quota at most.
+    """
+    patterns, sources = list(distinct), list(quota)
+    node = {("p", p): i + 2 for i, p in enumerate(patterns)} | {("s", s): i + 2 + len(patterns) for i, s in enumerate(sources)}
+    net = Network(len(node) + 2)
+    whole: dict = {}
+    arcs = {}
+    for (p, s), w in words.items():
+        whole[p] = whole.get(p, 0) + w
+        arcs[p, s] = [net.arc(node["p", p], node["s", s], w * uses, cost) for uses, cost in ((1, 0), (most - 1, 1))]
+    for p, w in whole.items():
+        tiers = [(min(distinct[p], w), 0), (w - min(distinct[p], w), 1), *((w, k) for k in range(2, most + 1))]
+        for room, cost in tiers:
+            net.arc(0, node["p", p], room, cost)
+    for s in sources:
+        net.arc(node["s", s], 1, quota[s], 0)
+    net.fill(0, 1)
+    return {ps: sum(net.room[a ^ 1] for a in own) for ps, own in arcs.items()}
+
+
+def source_code(source: Column) -> Column:
+    """A text for a source; null is a source of its own."""
+    return F.when(source.isNull(), "~").otherwise(F.concat(F.lit("="), source))
+
+
+def _source(code: str) -> str | None:
+    return None if code == "~" else code[1:]
 
 
 def mix(
     docs: DataFrame,
     *,
-    members: Column | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
+    source_col: str = "source",
     most: int = 2,
     share: Fraction = Fraction(3, 2),
     weights: tuple[int, ...] = WEIGHTS,
     seed: int = 7_001,
     rows_per_block: int = 2_048,
     max_patterns: int = 100_000,
+    keep_text: bool = True,
 ) -> DataFrame:
-    """``docs`` with ``size`` (words), ``pattern``, ``source_size``, ``target`` and ``copies``.
+    """``docs`` with ``size`` (words), ``pattern``, ``source_size``, ``target`` and ``copies``; without
+    ``keep_text`` the text is left out and no text is read twice.
+
+    ``pattern`` lists the sources in which the document's text occurs; ``source_size`` and ``target`` are
+    those of its own source. ``copies`` is 0 to ``most``: how often the mix takes the document, so it takes
+    ``size * copies`` of its words. Texts are equal if their 64-bit hashes are.
 
-    ``members`` is an array of source names (default: the one ``source`` column). ``source_size``
-    and ``target`` are those of the sources in the pattern, added up. ``copies`` is 0 to ``most``: how
-    often the mix takes the document, so it takes ``size * copies`` of its words.
+    A source's words of a pattern come as near the flow as whole documents allow: those up to the cut key
+    and one closing document that fits the rest best. Null and empty texts have size 0 and are never taken.
+    Rows that agree in id and text share their key, so they are taken alike. An empty table gives no rows.
+    Columns named as those added are replaced.
 
-    A round's words come as near the flow as whole documents allow: those below the cut key and one
-    closing document that fits the rest best. Null and empty texts have size 0 and are never taken.
-    Rows that agree in id and text share their key, so they are taken alike. An empty table gives no
-    rows. The driver holds a number per pattern and per source; more than ``max_patterns`` patterns
-    raise ValueError (a mixture of so many sources isn't a mixture), so what is broadcast is bounded.
+    The driver holds a number per source, and per source of a pattern of several sources; of those there
+    are ``max_patterns`` at most: beyond, texts of the patterns of the fewest words count in each of their
+    sources as texts of that source alone. Sources still come to their targets; only that such a text is
+    not taken in two sources isn't looked after.
     """
     spark = docs.sparkSession
-    members = F.array(F.col("source")) if members is None else members
     docs = docs.drop("size", "pattern", "source_size", "target", "copies")
-    (key,) = free_name(docs, "key")
-    marked = docs.withColumn("size", F.size(blank_words(F.col(text_col))).cast("long")).withColumn("pattern", pattern_of(members))
-    marked = marked.withColumn(key, F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))))
-    narrow = written(marked.select("pattern", "size", F.col(key).alias("key")), "mixing-sizes")
-
-    summed = narrow.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(max_patterns + 1).collect()
-    if len(summed) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns")
-    capacity = {r["pattern"]: r["size"] for r in summed}
-    belongs = {p: _members(p) for p in capacity}
+    hash_, code, own, key = free_name(docs, "hash", "code", "own", "key")
+    rest = [c for c in docs.columns if c != text_col]
+    size = F.size(blank_words(F.col(text_col))).cast("long")
+    marked = docs.withColumn(hash_, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).withColumn(code, source_code(F.col(source_col)))
+    marked = marked.withColumn(own, F.xxhash64(F.lit(seed), F.col(id_col), F.col(hash_)))
+    narrow = written(marked.withColumn("size", size).drop(text_col), "mixing-sizes")
+
+    texts = narrow.where("size > 0").groupBy(F.col(hash_).alias("h")).agg(F.array_sort(F.collect_set(code)).alias("codes"), F.count("*").alias("n"), F.max("size").alias("size"))
+    texts = written(texts, "mixing-texts")
+    multi = texts.where(F.size("codes") > 1).withColumn("pattern", F.to_json("codes"))
+    patterns = multi.groupBy("pattern").agg(F.sum("size").alias("distinct")).orderBy(F.desc("distinct"), "pattern").limit(max_patterns)
+    patterns = written(patterns, "mixing-patterns")
+    distinct = {r["pattern"]: r["distinct"] for r in patterns.collect()}
+    multi = multi.join(F.broadcast(patterns.select("pattern")), "pattern", "left_semi")
+    single = texts.join(multi.select("h"), "h", "left_anti").select(F.explode("codes").alias("code"), "size").groupBy("code").agg(F.sum("size").alias("distinct"))
+    distinct |= {json.dumps([r["code"]], ensure_ascii=False): r["distinct"] for r in single.collect()}
+
+    # Texts of one row in each source share a key there, so that the sources can take different ones.
+    table = multi.select(F.col("h").alias(hash_), "pattern", (F.col("n") == F.size("codes")).alias("alike"), "n")
+    map_ = bit_map(multi.select("h"), MAP_BITS)
+
+    def with_pattern(df: DataFrame) -> DataFrame:
+        may = in_bit_map(map_, F.col(hash_), MAP_BITS)
+        found = df.where(~may).select("*", F.lit(None).cast("string").alias("pattern"), F.lit(False).alias("alike"))
+        found = found.unionByName(join_hot(df.where(may), table, hash_, "n"))
+        drawn = F.when(F.col("alike"), F.xxhash64(F.lit(seed + 1), F.col(hash_))).otherwise(F.col(own))
+        found = found.withColumn("pattern", F.coalesce("pattern", F.to_json(F.array(code)))).withColumn(key, F.shiftrightunsigned(drawn, 64 - KEY_BITS))
+        return found.drop("alike", own, hash_)
+
+    placed = written(with_pattern(narrow), "mixing-places")
+    summed = placed.groupBy("pattern", F.col(code).alias("code")).agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+    words = {(r["pattern"], r["code"]): r["size"] for r in summed}
     sizes: dict[str | None, int] = {}
-    for p, words in capacity.items():
-        for s in belongs[p]:
-            sizes[s] = sizes.get(s, 0) + words
+    for (_, c), w in words.items():
+        sizes[_source(c)] = sizes.get(_source(c), 0) + w
     target = source_targets(sizes, share=share, most=most, weights=weights)
-    flow = min_cost_flow(capacity, belongs, {s: round(t) for s, t in target.items()}, most)
-    want = _by_round(flow)
-    cut = _cuts(narrow, want, capacity, {r["pattern"]: r["n"] for r in summed}, rows_per_block)
+    some = {ps: w for ps, w in words.items() if w}
+    flow = min_cost_flow({p: distinct[p] for p, _ in some}, some, {c: round(target[_source(c)]) for _, c in words}, most)
+    plan = _plan(words, flow)
+    cuts = _cuts(placed.select(F.col("pattern"), F.col(code).alias("code"), "size", F.col(key).alias("key")), plan, {(r["pattern"], r["code"]): r["n"] for r in summed}, rows_per_block)
 
-    rows = _rows(capacity, belongs, sizes, target, cut)
-    table = small_table(spark, rows, "pattern:string,source_size:bigint,target:double,cut:array<bigint>,closing:array<bigint>")
-    out = marked.join(F.broadcast(table), "pattern", "left")
-    below = F.size(F.filter("cut", lambda c: c >= F.col(key)))
-    closes = F.size(F.filter("closing", lambda c: c == F.col(key)))
-    copies = F.when(F.col("size") > 0, below + closes).otherwise(0).cast("int")
-    return out.select(*docs.columns, "size", "pattern", "source_size", "target", copies.alias("copies"))
+    rows = []
+    for (p, c), (uses, begin, _) in plan.items():
+        cut, closing = cuts.get((p, c), (-1, None))
+        rows.append({"pattern": p, "code": c, "source_size": sizes[_source(c)], "target": float(target[_source(c)]), "uses": uses, "begin": begin, "cut": cut, "closing": closing})
+    steps = small_table(spark, rows, "pattern:string,code:string,source_size:bigint,target:double,uses:int,begin:bigint,cut:bigint,closing:bigint")
+    out = with_pattern(marked.withColumn("size", size)) if keep_text else placed
+    out = out.join(F.broadcast(steps.withColumnRenamed("code", code)), ["pattern", code], "left")
+    place = _place(F.col(key), F.col("begin"))
+    copies = F.col("uses") + (place <= F.col("cut")).cast("int") + F.coalesce((place == F.col("closing")).cast("int"), F.lit(0))
+    holds = F.regexp_like(F.coalesce(F.col(text_col), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]")) if keep_text else F.col("size") > 0
+    return out.select(*(docs.columns if keep_text else rest), "size", "pattern", "source_size", "target", F.when(holds, copies).otherwise(0).cast("int").alias("copies"))
 
 
-def _by_round(flow: dict[tuple, int]) -> list[list]:
-    total: dict[tuple, int] = {}
-    for (p, k, _), x in flow.items():
-        total[p, k] = total.get((p, k), 0) + x
-    return [[p, k, x] for (p, k), x in total.items()]
+def _place(key: Column, begin: Column) -> Column:
+    """A key's place on the circle, counted from ``begin``."""
+    return F.pmod(key - begin, F.lit(1 << KEY_BITS))
 
 
-def _rows(capacity: dict, belongs: dict, sizes: dict, target: dict, cut: list) -> list[dict]:
-    own: dict[str, list] = {}
-    for p, _, c, x in cut:
-        own.setdefault(p, []).append((c, x))
-    return [{"pattern": p, "source_size": sum(sizes[s] for s in belongs[p]), "target": float(sum(target[s] for s in belongs[p])), "cut": [c for c, _ in own.get(p, [])], "closing": [x for _, x in own.get(p, []) if x is not None]} for p in capacity]
+def _plan(words: dict, flow: dict) -> dict[tuple, tuple[int, int, int]]:
+    """(pattern, source) -> (uses of every document, begin on the circle, words of one further use)."""
+    plan, end = {}, {}
+    for p, c in sorted(words):
+        w = words[p, c]
+        uses, rest = divmod(flow.get((p, c), 0), w) if w else (0, 0)
+        begin = end.get(p, Fraction(0))
+        plan[p, c] = (uses, int(begin * (1 << KEY_BITS)), rest)
+        end[p] = (begin + Fraction(rest, w or 1)) % 1
+    return plan
 
 
-def _cuts(narrow: DataFrame, want: list[list], capacity: dict, rows: dict, rows_per_block: int) -> list[tuple]:
-    """(pattern, round, cut key, closing key or None): the words of the keys up to the cut, with the
+def _cuts(rows: DataFrame, plan: dict, counts: dict, rows_per_block: int) -> dict[tuple, tuple[int, int | None]]:
+    """(pattern, source) -> (cut, closing place or None): the words of the places up to the cut, with the
     closing document's, come nearest to the wanted number.
 
-    Keys are signed 64-bit; a block is their leading bits. First the blocks' sums, then the rows of
-    the one block in which the wanted number is reached.
+    A block is the leading bits of a place. First the blocks' sums, then the rows of the one block in which
+    the wanted number is reached.
     """
-    spark = narrow.sparkSession
-    whole = [(p, k, 2**63 - 1, None) for p, k, x in want if x >= capacity[p]]
-    part = [(p, k, x) for p, k, x in want if x < capacity[p]]
+    spark = rows.sparkSession
+    part = [(p, c, begin, x) for (p, c), (_, begin, x) in plan.items() if x]
     if not part:
-        return whole
-    bits = min(20, max(1, math.ceil(math.log2(max(2, max(rows[p] for p, _, _ in part) / rows_per_block)))))
-    block = F.shiftright("key", 64 - bits)
-    asked = small_table(spark, [{"pattern": p, "k": k, "x": x} for p, k, x in part], "pattern:string,k:int,x:bigint")
-    blocks = narrow.where("size > 0").groupBy("pattern", block.alias("block")).agg(F.sum("size").alias("w"))
-    until = F.coalesce(F.sum("w").over(Window.partitionBy("pattern").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    met = blocks.withColumn("before", until).join(F.broadcast(asked), "pattern").where("before <= x and x < before + w").select("pattern", "k", "x", "block", "before")
-    found = narrow.where("size > 0").withColumn("block", block).join(F.broadcast(met), ["pattern", "block"])
-    found = found.groupBy("pattern", "k", "x", "before", "key").agg(F.sum("size").alias("size"))
-    run = F.col("before") + F.sum("size").over(Window.partitionBy("pattern", "k").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
-    last = found.withColumn("run", run).where("run <= x").groupBy("pattern", "k").agg(F.max("key").alias("cut"), F.max("run").alias("run"))
-    base = met.join(last, ["pattern", "k"], "left").select("pattern", "k", "x", F.coalesce("cut", F.try_subtract(F.shiftleft(F.col("block").cast("long"), 64 - bits), F.lit(1).cast("long")), F.lit(-(2**63))).alias("cut"), F.coalesce("run", "before").alias("run"))
-    base = {(r["pattern"], r["k"]): (r["x"], r["cut"], r["run"]) for r in base.collect()}
-    # The closing document: of those above the cut, the one whose size is nearest to the rest.
-    rest = small_table(spark, [{"pattern": p, "k": k, "cut": c, "rest": x - run} for (p, k), (x, c, run) in base.items()], "pattern:string,k:int,cut:bigint,rest:bigint")
-    others = narrow.where("size > 0").join(F.broadcast(rest), "pattern").where("key > cut and size < 2 * rest")
-    others = others.groupBy("pattern", "k", "rest", "key").agg(F.sum("size").alias("size")).where("size < 2 * rest")
-    best = others.groupBy("pattern", "k").agg(F.min_by("key", F.struct(F.abs(F.col("size") - F.col("rest")), "key")).alias("key"))
-    closing = {(r["pattern"], r["k"]): r["key"] for r in best.collect()}
-    return whole + [(p, k, c, closing.get((p, k))) for (p, k), (_, c, _) in base.items()]
+        return {}
+    bits = min(20, max(1, math.ceil(math.log2(max(2, max(counts[p, c] for p, c, _, _ in part) / rows_per_block)))))
+    asked = small_table(spark, [{"pattern": p, "code": c, "begin": b, "x": x} for p, c, b, x in part], "pattern:string,code:string,begin:bigint,x:bigint")
+    names = ["pattern", "code"]
+    placed = rows.where("size > 0").join(F.broadcast(asked), names)
+    placed = placed.select(*names, "x", "size", _place(F.col("key"), F.col("begin")).alias("place")).withColumn("block", F.shiftright("place", KEY_BITS - bits))
+    blocks = placed.groupBy(*names, "x", "block").agg(F.sum("size").alias("w"))
+    until = F.coalesce(F.sum("w").over(Window.partitionBy(*names).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    met = blocks.withColumn("before", until).where("before <= x and x < before + w").select(*names, "block", "before")
+    found = placed.join(F.broadcast(met), [*names, "block"])
+    found = found.groupBy(*names, "x", "block", "before", "place").agg(F.sum("size").alias("size"))
+    run = F.col("before") + F.sum("size").over(Window.partitionBy(*names).orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    upto = found.withColumn("run", run).groupBy(*names, "x", "block", "before").agg(F.max(F.when(F.col("run") <= F.col("x"), F.struct("place", "run"))).alias("last"))
+    base = {}
+    for r in upto.collect():
+        base[r["pattern"], r["code"]] = (r["last"]["place"], r["x"] - r["last"]["run"]) if r["last"] else ((r["block"] << (KEY_BITS - bits)) - 1, r["x"] - r["before"])
+    # The closing document: of those behind the cut, the one whose size is nearest to the rest.
+    short = small_table(spark, [{"pattern": p, "code": c, "cut": cut, "rest": rest} for (p, c), (cut, rest) in base.items()], "pattern:string,code:string,cut:bigint,rest:bigint")
+    others = placed.join(F.broadcast(short), names).where("place > cut and size < 2 * rest")
+    others = others.groupBy(*names, "rest", "place").agg(F.sum("size").alias("size")).where("size < 2 * rest")
+    best = others.groupBy(*names).agg(F.min_by("place", F.struct(F.abs(F.col("size") - F.col("rest")), "place")).alias("place"))
+    closing = {(r["pattern"], r["code"]): r["place"] for r in best.collect()}
+    return {ps: (cut, closing.get(ps)) for ps, (cut, _) in base.items()}
