@@ -243,11 +243,21 @@ def mix(
     some = {ps: w for ps, w in words.items() if w}
     flow = min_cost_flow({p: distinct[p] for p, _ in some}, some, {c: round(target[_source(c)]) for _, c in words}, most)
     plan = _plan(words, flow)
-    cuts = _cuts(placed.select(F.col("pattern"), F.col(code).alias("code"), "size", F.col(key).alias("key")), plan, {(r["pattern"], r["code"]): r["n"] for r in summed}, rows_per_block)
+    counts = {(r["pattern"], r["code"]): r["n"] for r in summed}
+    narrow = placed.select("pattern", F.col(code).alias("code"), "size", F.col(key).alias("key"))
+    alone = {c: (json.dumps([c], ensure_ascii=False), c) for _, c in words}
+    cuts = _cuts(narrow, {ps: how for ps, how in plan.items() if alone[ps[1]] != ps}, counts, rows_per_block)
+    # What whole documents of shared texts leave open or take too much, the source's own texts make up for.
+    for ps, (_, _, over) in cuts.items():
+        own_texts = alone[ps[1]]
+        if words.get(own_texts):
+            flow[own_texts] = min(max(0, flow.get(own_texts, 0) - over), most * words[own_texts])
+    plan = _plan(words, flow)
+    cuts |= _cuts(narrow, {ps: how for ps, how in plan.items() if alone[ps[1]] == ps}, counts, rows_per_block)
 
     rows = []
     for (p, c), (uses, begin, _) in plan.items():
-        cut, closing = cuts.get((p, c), (-1, None))
+        cut, closing, _ = cuts.get((p, c), (-1, None, 0))
         rows.append({"pattern": p, "code": c, "source_size": sizes[_source(c)], "target": float(target[_source(c)]), "uses": uses, "begin": begin, "cut": cut, "closing": closing})
     steps = small_table(spark, rows, "pattern:string,code:string,source_size:bigint,target:double,uses:int,begin:bigint,cut:bigint,closing:bigint")
     out = with_pattern(marked.withColumn("size", size)) if keep_text else placed
@@ -275,9 +285,9 @@ def _plan(words: dict, flow: dict) -> dict[tuple, tuple[int, int, int]]:
     return plan
 
 
-def _cuts(rows: DataFrame, plan: dict, counts: dict, rows_per_block: int) -> dict[tuple, tuple[int, int | None]]:
-    """(pattern, source) -> (cut, closing place or None): the words of the places up to the cut, with the
-    closing document's, come nearest to the wanted number.
+def _cuts(rows: DataFrame, plan: dict, counts: dict, rows_per_block: int) -> dict[tuple, tuple[int, int | None, int]]:
+    """(pattern, source) -> (cut, closing place or None, words over): the words of the places up to the cut,
+    with the closing document's, come nearest to the wanted number; they are so many over it, or under.
 
     A block is the leading bits of a place. First the blocks' sums, then the rows of the one block in which
     the wanted number is reached.
@@ -305,6 +315,10 @@ def _cuts(rows: DataFrame, plan: dict, counts: dict, rows_per_block: int) -> dic
     short = small_table(spark, [{"pattern": p, "code": c, "cut": cut, "rest": rest} for (p, c), (cut, rest) in base.items()], "pattern:string,code:string,cut:bigint,rest:bigint")
     others = placed.join(F.broadcast(short), names).where("place > cut and size < 2 * rest")
     others = others.groupBy(*names, "rest", "place").agg(F.sum("size").alias("size")).where("size < 2 * rest")
-    best = others.groupBy(*names).agg(F.min_by("place", F.struct(F.abs(F.col("size") - F.col("rest")), "place")).alias("place"))
-    closing = {(r["pattern"], r["code"]): r["place"] for r in best.collect()}
-    return {ps: (cut, closing.get(ps)) for ps, (cut, _) in base.items()}
+    best = others.groupBy(*names).agg(F.min_by(F.struct("place", "size"), F.struct(F.abs(F.col("size") - F.col("rest")), "place")).alias("b"))
+    closing = {(r["pattern"], r["code"]): r["b"] for r in best.collect()}
+    out = {}
+    for ps, (cut, rest) in base.items():
+        last = closing.get(ps)
+        out[ps] = (cut, last["place"], last["size"] - rest) if last else (cut, None, -rest)
+    return out
