@@ -16,9 +16,12 @@ NODES_A_RANGE = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where a session names none, a temporary folder of this machine."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where a session of one machine
+    (tests, a laptop) names none, it's a temporary folder that is then set; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="arborlake-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
