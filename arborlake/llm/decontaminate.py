@@ -6,8 +6,9 @@ window starts that pass both maps leave the row, with the window's words, and ar
 against the broadcast windows word by word. The corpus is read once and never joined with
 itself; what is shuffled is a row per document and per passing window.
 
-The benchmark is bounded: blocks of at most ``max_windows`` windows are broadcast, and a larger
-benchmark is scanned block by block, each against all rows.
+What is broadcast is bounded: blocks of about ``max_windows`` pairs of window and item, however the items
+share windows; a larger benchmark is scanned block by block, each against all rows, which are written once
+so that a row has the same number in every scan.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborlake.llm.common import free_name, let, plain_words
+from arborlake.llm.common import free_name, let, plain_words, written
 
 #: Bits of each map; a power of two, 64 to a long.
 MAP_BITS = 1 << 18
@@ -75,21 +76,24 @@ def contamination(
     words, rid, cand, h = free_name(docs, "words", "rid", "cand", "h")
     keep = [c for c in docs.columns if c != text_col]
     windows = benchmark_windows(items, n, id_col=item_id_col, text_col=item_text_col)
-    h1 = F.xxhash64(F.get("window", 0), F.get("window", 1))
-    grams = windows.select("length", "window").distinct().withColumn("pair", h1)
-    lengths = {r["length"]: r["m"] for r in grams.groupBy("length").agg(F.count("*").alias("m")).collect()}
+    windows = written(windows, "benchmark-windows")
+    lengths = {r["length"]: r["m"] for r in windows.groupBy("length").agg(F.count("*").alias("m")).collect()}
     total = sum(lengths.values())
     hashed = None
     for length in sorted(lengths):
         own = windows.where(F.col("length") == length).withColumn("h", _window_hash(F.col("window"), F.lit(0), length))
         hashed = own if hashed is None else hashed.unionByName(own)
 
-    split = docs.withColumn(words, plain_words(F.col(text_col))).withColumn(rid, F.monotonically_increasing_id())
+    blocks = max(1, -(-total // max_windows))
+    docs = docs.withColumn(rid, F.monotonically_increasing_id())
+    if blocks > 1:
+        docs = written(docs, "contamination-rows")
+    split = docs.withColumn(words, plain_words(F.col(text_col)))
     base = split.select(*keep, rid, F.size(words).cast("long").alias("n_words"), words)
+    first = [F.first(c).alias(c) for c in [*keep, "n_words"]]  # a row's columns, of any type
     found: DataFrame | None = None
-    blocks = max(1, -(-total // max_windows))
     for b in range(blocks):
-        own = None if hashed is None else hashed.where(F.pmod(F.col("h"), F.lit(blocks)) == b) if blocks > 1 else hashed
+        own = None if hashed is None else hashed.where(F.pmod(F.xxhash64("h", "item"), F.lit(blocks)) == b) if blocks > 1 else hashed
         got = own.select("length", "h", F.xxhash64(F.get("window", 0), F.get("window", 1)).alias("pair")).distinct().collect() if own is not None else []
         scans = []
         for length in sorted({r["length"] for r in got}):
@@ -104,10 +108,10 @@ def contamination(
             test = own.select(F.col("h").alias(h), F.col("length").alias("own_length"), F.col("window").alias("own_window"), "item").groupBy(h, "own_length", "own_window").agg(F.collect_set("item").alias("item"))
             same = (F.col(f"{cand}.h") == F.col(h)) & (F.col(f"{cand}.length") == F.col("own_length")) & (F.col(f"{cand}.window") == F.col("own_window"))
             hits = rows.join(F.broadcast(test), same, "left").select(*keep, rid, "n_words", F.when(F.col(h).isNotNull(), F.col(f"{cand}.at")).alias("at"), F.col("own_length").alias("length"), "item")
-        per = hits.groupBy(rid, *keep, "n_words").agg(F.collect_set(F.when(F.col("at").isNotNull(), F.struct("at", "length"))).alias("places"), F.array_distinct(F.flatten(F.collect_set("item"))).alias("items")) if own is not None else hits.select(rid, *keep, "n_words", F.array().cast("array<struct<at:int,length:int>>").alias("places"), F.array().cast("array<string>").alias("items"))
+        per = hits.groupBy(rid).agg(*first, F.collect_set(F.when(F.col("at").isNotNull(), F.struct("at", "length"))).alias("places"), F.array_distinct(F.flatten(F.collect_set("item"))).alias("items")) if own is not None else hits.select(rid, *keep, "n_words", F.array().cast("array<struct<at:int,length:int>>").alias("places"), F.array().cast("array<string>").alias("items"))
         found = per if found is None else found.unionByName(per)
     if blocks > 1:
-        found = found.groupBy(rid, *keep, "n_words").agg(F.flatten(F.collect_list("places")).alias("places"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        found = found.groupBy(rid).agg(*first, F.flatten(F.collect_list("places")).alias("places"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     spans = _merged(F.array_sort("places"))
     out = found.select(*keep, "n_words", spans.alias("spans"), F.array_sort("items").alias("items"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"] + 1)
@@ -141,11 +145,17 @@ def _merged(places: Column) -> Column:
     return F.aggregate(places, F.array().cast(kind), add)
 
 
+#: Rows that are hit are broadcast up to this many; more are met by a shuffle.
+MOST_BROADCAST = 500_000
+
+
 def without_contaminated(docs: DataFrame, items: DataFrame, n: int = 10, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` less the rows whose text holds a benchmark window; every other row stays whole."""
     key, size = free_name(docs, "key", "size")
     marked = docs.select("*", F.xxhash64(text_col).alias(key), F.octet_length(text_col).alias(size))
     bad = contamination(marked.select(id_col, text_col, key, size), items, n, text_col=text_col).where("n_hit > 0")
-    bad = bad.select(F.col(id_col).alias("bad_id"), F.col(key).alias("bad_key"), F.col(size).alias("bad_size")).distinct()
+    bad = written(bad.select(F.col(id_col).alias("bad_id"), F.col(key).alias("bad_key"), F.col(size).alias("bad_size")).distinct(), "contaminated")
+    if bad.count() <= MOST_BROADCAST:
+        bad = F.broadcast(bad)
     same = F.col(id_col).eqNullSafe(F.col("bad_id")) & (F.col(key) == F.col("bad_key")) & (F.col(size) == F.col("bad_size"))
     return marked.join(bad, same, "left_anti").select(*docs.columns)

@@ -129,7 +129,11 @@ def shuffle_into_shards(
     lot = F.xxhash64(F.lit(seed + 2), F.col(pid), F.col(place))
     lead = F.shiftrightunsigned(F.col(key), 64 - bits).cast("int") if bits else F.lit(0)
     dealt = dealt.drop(cuts).withColumn(key, lot).withColumn(block, lead)
-    places = table.where("n > 0").select(F.col("p").alias(pid), F.col("c").alias(cuts), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias(place))
+    # Slots are generated by many tasks, none of which makes more than about a million.
+    spread_over = min(4_096, -(-total // 1_000_000))
+    own = table.where("n > 0")
+    own = own.repartition(spread_over, "p") if spread_over > 1 else own
+    places = own.select(F.col("p").alias(pid), F.col("c").alias(cuts), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias(place))
     spread = places.withColumn("shard", where).withColumn(key, lot).withColumn(block, lead).groupBy("shard", block).agg(F.count("*").alias("m"))
     before = F.sum("m").over(Window.partitionBy("shard").orderBy(block).rowsBetween(Window.unboundedPreceding, -1))
     offsets = spread.select("shard", block, F.coalesce(before, F.lit(0)).alias(offset))

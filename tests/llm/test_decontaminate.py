@@ -45,3 +45,20 @@ def test_against_brute_force(spark, docs, clashing, empty):
     nothing = contamination(docs, bench.limit(0))
     assert nothing.count() == docs.count() and nothing.where("n_hit > 0 or size(items) > 0").count() == 0
     assert without_contaminated(docs, bench.limit(0)).count() == docs.count()
+
+
+def test_shared_windows_maps_and_many_hits(spark, monkeypatch):
+    """One window in many items is split over blocks; columns of any type are carried; either way of
+    dropping rows gives the same."""
+    common = " ".join(f"c{i}" for i in range(12))
+    items = [(i, common) for i in range(40)] + [(99, "rare words here")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = [(i, common if i % 3 == 0 else "rare words here" if i % 3 == 1 else "nothing", {"a": i}) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, extra map<string,int>").repartition(4)
+    for how in ({}, {"max_windows": 10}):
+        got = contamination(df, bench, **how).collect()
+        assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["extra"]["a"]) for r in got) == sorted((i, *brute(t, items), m["a"]) for i, t, m in rows)
+    narrow = df.drop("extra")
+    kept = sorted(r["doc_id"] for r in without_contaminated(narrow, bench).collect())
+    monkeypatch.setattr("arborlake.llm.decontaminate.MOST_BROADCAST", 0)
+    assert kept == sorted(r["doc_id"] for r in without_contaminated(narrow, bench).collect()) == [i for i in range(30) if i % 3 == 2]
