@@ -46,8 +46,8 @@ class Scanner:
         phrases = sorted(BASE)
         self.base = [(re.compile(rb"(?<![^ ])" + rb" +".join(w.encode() for w in p.split()) + rb"(?![^ ])"), len(p.split()), BASE[p]) for p in phrases]
 
-    def detections(self, text: str) -> list[tuple[int, int, str]]:
-        """(begin, end, label) in the normalised text, after suppression, in order of place."""
+    def detections(self, text: str) -> list[tuple[int, int, str, int]]:
+        """(begin, end, label, words) in the normalised text, after suppression, in order of place."""
         plain = self.blanks.sub(" ", text.lower())
         tried = set(self.always)
         for _, own in self.automaton.iter(plain):
@@ -55,15 +55,16 @@ class Scanner:
         if not tried:
             return []
         found = [(m.start(), m.end(), i) for i in sorted(tried) for m in self.compiled[i].finditer(plain) if m.end() > m.start()]
-        return [(a, b, self.table[i][0]) for a, b, i in resolve(found)]
+        return [(a, b, self.table[i][0], len(utf8(plain[a:b]).translate(WORD_BYTES).split())) for a, b, i in resolve(found)]
 
-    def base_places(self, raw: bytes) -> tuple[int, int | None, int | None, list[str]]:
-        """Number of base phrases' places, the least and largest start in words, and the labels."""
+    def base_places(self, raw: bytes) -> tuple[int, int | None, int | None, list[str], int]:
+        """Number of base phrases' places, the least and largest start in words, the labels, and the
+        words of the longest phrase."""
         words = raw.translate(WORD_BYTES)
         if b"license" not in words and b"cc" not in words:
-            return 0, None, None, []
-        n, first, last, labels = 0, None, None, []
-        for pattern, _, label in self.base:
+            return 0, None, None, [], 0
+        n, first, last, labels, longest = 0, None, None, [], 0
+        for pattern, size, label in self.base:
             at, before = 0, 0
             hits = 0
             for m in pattern.finditer(words):
@@ -74,8 +75,9 @@ class Scanner:
                 last = before if last is None else max(last, before)
             if hits:
                 n += hits
+                longest = max(longest, size)
                 labels.append(label)
-        return n, first, last, labels
+        return n, first, last, labels, longest
 
 
 def resolve(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -100,9 +102,11 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections) per row.
 
     ``labels`` joins base labels and those of the rules, distinct and sorted. ``detections`` are the
-    intervals that stay, as (begin, end, label) in the text with its white space normalised. ``score`` is
-    1 - 0.5 ** (distinct labels + base places), 0 without any. Null texts are empty: no words, no labels.
-    Rows are scanned one by one, whole.
+    intervals that stay, as (begin, end, label) in the text with its white space normalised. ``score`` says
+    how much licence language stands in one place: 1 - 0.5 ** (w / 2) where w words are in the longest
+    detection or base phrase, so a bare name has 0.3 to 0.7, a sentence of a grant over 0.95; 0 without any.
+    Null texts are empty: no words, no labels, score 0. Rows are scanned one by one, whole, so repeated
+    rows, ties and null ids don't matter; an empty table gives no rows; other columns don't count.
     """
     kind = docs.schema[id_col]
     schema = T.StructType([
@@ -123,11 +127,11 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 text = text or ""
                 raw = utf8(text)
                 n_words = len(raw.translate(WORD_BYTES).split())
-                n, first, last, base = scanner.base_places(raw)
+                n, first, last, base, longest = scanner.base_places(raw)
                 found = scanner.detections(text)
                 labels = sorted({*base, *(x[2] for x in found)})
-                score = 1 - 0.5 ** (len(labels) + n)
-                row = (n_words, n, first, last, ",".join(sorted(set(base))), ",".join(labels), score, [{"begin": a, "end": b, "label": x} for a, b, x in found])
+                score = 1 - 0.5 ** (max([longest, *(x[3] for x in found)]) / 2)
+                row = (n_words, n, first, last, ",".join(sorted(set(base))), ",".join(labels), score, [{"begin": a, "end": b, "label": x} for a, b, x, _ in found])
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
             kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.float64(), spans]
