@@ -28,13 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.llm.common import free_name, map_arrow, shared_folder, word_bytes, written
+from arborlake.llm.common import HOT, free_name, join_hot, map_arrow, shared_folder, word_bytes, written
 
 SHINGLE, BANDS, BAND_SLOTS = 5, 50, 7
 SLOTS = BANDS * BAND_SLOTS
 CACHE = 250_000
 #: Bits of the map of nodes that take part in a round; fixed, so that it may be broadcast.
 MAP_BITS = 1 << 21
+#: Bits of the map of rows that go; fixed, so that it may be broadcast.
+ROW_MAP_BITS = 1 << 23
+#: Pairs of one node that meet one copy of its set.
+SALT = 4_096
 #: Nodes of a bucket that one task pairs at a time with those outside of the bucket's main component.
 BLOCK = 2_048
 
@@ -190,12 +194,22 @@ def _taking_part(rows: DataFrame, rids: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Of (a, b), those whose sets' Jaccard similarity is at least the threshold (a fraction)."""
+    """Of (a, b), those whose sets' Jaccard similarity is at least the threshold (a fraction).
+
+    A node of very many pairs, such as the hub of a large group, has its pairs dealt over several tasks,
+    each with a copy of its set: there are fewer such nodes than HOT, and a copy for every SALT pairs.
+    """
+    pairs = written(pairs, "near-candidates")
+    counts = pairs.groupBy("b").agg(F.count("*").alias("m")).where(F.col("m") > SALT)
+    hot = counts.where(F.col("m") * HOT > pairs.count()).select("b", F.ceil(F.col("m") / SALT).cast("int").alias("salts"))
+    hot = F.broadcast(written(hot, "near-hot"))
     some = _taking_part(sets, pairs.select(F.col("a").alias("rid")).union(pairs.select("b")))
     a = some.select(F.col("rid").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
-    b = some.select(F.col("rid").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
+    b = some.select(F.col("rid").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b")).join(hot, "b", "left")
+    b = b.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    dealt = pairs.join(hot, "b", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
     num, den = threshold
-    both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("s_a", "s_b")))
+    both = dealt.join(a, "a").join(b, ["b", "salt"]).withColumn("common", F.size(F.array_intersect("s_a", "s_b")))
     return both.where(F.col("common") * den >= num * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
 
@@ -254,7 +268,7 @@ def _apart(met: DataFrame, links: DataFrame, threshold: tuple[int, int]) -> Data
     once = (F.col("root") == F.col("main")) | (F.col("x") < F.col("rid"))
     same = (minor["key"] == every["key"]) & (minor["block"] == every["block"])
     pairs = minor.join(every, same & (F.col("root") != F.col("root_x")) & once & fits)
-    return written(pairs.select(F.least("x", "rid").alias("a"), F.greatest("x", "rid").alias("b")).distinct(), "near-pairs")
+    return pairs.select(F.least("x", "rid").alias("a"), F.greatest("x", "rid").alias("b")).distinct()
 
 
 def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -268,24 +282,43 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     Repeated rows are rows of their own in one class. An empty table gives no rows. Whole texts count.
     """
     signed = _signed(docs, id_col, text_col)
-    groups = signed.where("n > 0").groupBy("digest").agg(F.min("rid").alias("node"))
-    nodes = signed.where("n > 0").select("rid", "n", "bands").join(groups.select(F.col("node").alias("rid")), "rid")
+    some = signed.where("n > 0")
+    groups = written(some.groupBy("digest").agg(F.min("rid").alias("node"), F.min(F.struct("id", "rid")).alias("least"), F.count("*").alias("rows")), "near-groups")
+    nodes = some.select("rid", "n", "bands").join(groups.select(F.col("node").alias("rid")), "rid")
     links = _links(signed, nodes, threshold)
-    roots = connected_components(links)
 
+    # Classes of sets, not of rows: a row learns of its class by its set alone.
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
-    member = signed.select("rid", "id", "text_hash", "digest").join(groups, "digest", "left").withColumn("node", F.coalesce("node", "rid"))
-    member = member.join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    member = written(member.select("rid", "id", "text_hash", "root", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "near-members")
-    classes = member.groupBy("root").agg(F.min(F.struct("id", "rid")).alias("least"), F.count("*").alias("class_size"))
-    out = member.join(classes, "root")
-    return out.select(F.col("id").alias(id_col), "text_hash", F.col("least.id").alias("class_id"), "class_size", "n_links", (F.col("rid") == F.col("least.rid")).alias("stays"))
+    sets = groups.join(connected_components(links), "node", "left").join(degree, "node", "left")
+    sets = written(sets.withColumn("root", F.coalesce("root", "node")).withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))), "near-sets-of-class")
+    classes = sets.groupBy("root").agg(F.min("least").alias("first"), F.sum("rows").alias("class_size"), F.count("*").alias("n_sets"))
+    sets = join_hot(sets, written(classes, "near-classes"), "root", "n_sets")
+    info = written(sets.select("digest", "rows", "n_links", "class_size", "first"), "near-info")
+    out = join_hot(some.select("rid", "id", "text_hash", "digest"), info, "digest", "rows").select("rid", "id", "text_hash", "n_links", "class_size", "first")
+    zero, one = (F.lit(x).cast("long") for x in (0, 1))
+    alone = signed.where("n = 0").select("rid", "id", "text_hash", zero.alias("n_links"), one.alias("class_size"), F.struct("id", "rid").alias("first"))
+    out = out.unionByName(alone)
+    return out.select(F.col("id").alias(id_col), "text_hash", F.col("first.id").alias("class_id"), "class_size", "n_links", (F.col("rid") == F.col("first.rid")).alias("stays"))
 
 
 def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each near-duplicate class; columns and texts are as they were."""
-    (key,) = free_name(docs, "key")
-    keep = near_duplicate_classes(docs, id_col=id_col, text_col=text_col).where("stays").select(F.col(id_col).alias("own_id"), F.col("text_hash").alias("own_hash"))
+    """``docs`` with one row of each near-duplicate class; columns and texts are as they were.
+
+    Rows are told by id and text. A map of fixed size, of those that go, is broadcast: a row that isn't in
+    it stays where it is, and only the others, texts and all, are shuffled to see which of them stay.
+    """
+    key, word, bits = free_name(docs, "key", "word", "bits")
+    classes = written(near_duplicate_classes(docs, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("own_id"), F.col("text_hash").alias("own_hash"), "stays"), "near-verdicts")
+    place = lambda a, b: F.xxhash64(a, b).bitwiseAND(F.lit(ROW_MAP_BITS - 1))
+    gone = classes.where(~F.col("stays")).select(place(F.col("own_id"), F.col("own_hash")).alias("p"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))
+    map_ = gone.groupBy(F.shiftright("p", 6).alias(word)).agg(F.bit_or(one).alias(bits))
+
     marked = docs.withColumn(key, F.xxhash64(text_col))
+    at = place(F.col(id_col), F.col(key))
+    marked = marked.withColumn(word, F.shiftright(at, 6)).join(F.broadcast(map_), word, "left")
+    may_go = F.coalesce(F.bit_get(bits, at.bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))
+    keep = classes.where("stays").drop("stays")
     same = marked[id_col].eqNullSafe(keep["own_id"]) & (marked[key] == keep["own_hash"])
-    return marked.join(keep, same, "left_semi").dropDuplicates([id_col, key]).select(*docs.columns)
+    rest = marked.where(may_go).join(keep, same, "left_semi").dropDuplicates([id_col, key])
+    return marked.where(~may_go).select(*docs.columns).unionByName(rest.select(*docs.columns))

@@ -131,3 +131,50 @@ def test_repeated_shingles_do_not_part_alike_sets(spark):
     assert all(shingles(a[1]) < shingles(b[1]) and 5 * len(shingles(a[1])) >= 4 * len(shingles(b[1])) for a, b in zip(rows[::2], rows[1::2], strict=True))
     got = near_duplicate_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert all(r["class_size"] == 2 and r["class_id"] == r["doc_id"] // 2 * 2 for r in got)
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of similarity 0.8 to 0.85, with and without repeated shingles, chains, trees: links found against
+    brute force, and hubs whose pairs are dealt over tasks."""
+    rng = random.Random(21)
+    rows, pairs = [], []
+
+    def varied(base, tail):
+        return [*base[: len(base) - tail], *[f"u{rng.randrange(10**9)}" for _ in range(tail)]]
+
+    for i in range(240):  # pairs, a third of which repeat what they share, a third what one has alone
+        base = [f"b{i}_{j}" for j in range(rng.choice((60, 104, 200)))]
+        other = varied(base, max(1, int(len(base) * 0.08)))
+        if i % 3 == 1:
+            base, other = base * 2, other * 2
+        if i % 3 == 2:
+            base = [*base, *(base[-8:] * 20)]
+        rows += [" ".join(base), " ".join(other)]
+    for i in range(30):  # chains and trees, each step a bit further from the first
+        own = [[f"t{i}_{j}" for j in range(120)]]
+        for k in range(1, 6):
+            own.append(varied(own[k - 1 if i % 2 else (k - 1) // 2], 8))
+        rows += [" ".join(x) for x in own]
+    sets = [shingles(t) for t in rows]
+    for i in range(480):
+        if i % 2 and 5 * len(sets[i] & sets[i - 1]) >= 4 * len(sets[i] | sets[i - 1]):
+            pairs.append((i - 1, i))
+    for g in range(480, len(rows), 6):
+        pairs += [(i, j) for i in range(g, g + 6) for j in range(g, i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert len(pairs) > 250
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicate_classes(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()}
+    recall = sum(got[a] == got[b] for a, b in pairs) / len(pairs)
+    assert recall >= 0.99
+    # Nothing is joined that brute force keeps apart.
+    assert len(set(got.values())) >= len(brute(list(enumerate(rows))))
+
+
+def test_hot_hubs_and_classes(spark, monkeypatch):
+    monkeypatch.setattr("arborlake.llm.near_duplicates.SALT", 8)
+    rng = random.Random(2)
+    base = [f"h{i}" for i in range(150)]
+    rows = [(0, " ".join(base))] + [(i, " ".join([*base[:100], f"x{i}", *base[101:]]) if i % 2 else " ".join(base)) for i in range(1, 400)]
+    rows += [(400 + i, " ".join(f"r{rng.randrange(10**6)}" for _ in range(40))) for i in range(20)] + [(500, None), (501, "")]
+    got = near_duplicate_classes(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)).collect()
+    sizes = {r["doc_id"]: (r["class_id"], r["class_size"], r["stays"]) for r in got}
+    assert all(sizes[i] == (0, 400, i == 0) for i in range(400)) and all(sizes[i] == (i, 1, True) for i in [*range(400, 420), 500, 501])
