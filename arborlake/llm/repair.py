@@ -40,10 +40,9 @@ MARK = "\x01"
 #: What the word-end tokenizers do to a text before their merges.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Words of these characters alone are normalised by str.lower and parted by PLAIN_PIECES just so; a
-#: line's end, which no word holds, stands between words here.
-PLAIN_LINES = re.compile("[\n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
-PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-/:-@\\[-`{-~]+|\n").findall
+#: Texts of these characters alone are normalised by str.lower and parted by PLAIN_PIECES just so.
+PLAIN_TEXT = re.compile("[\t-\r !-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*").fullmatch
+PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-/:-@\\[-`{-~]+").findall
 #: Sections whose sums are added up at once.
 SECTIONS_A_CHUNK = 1_024
 
@@ -94,20 +93,22 @@ def compress(ids: np.ndarray, terminals: int, least: int = LEAST) -> tuple[np.nd
         if not chosen.any():
             break
         pairs = pairs[chosen]
-        rule_at = np.full(len(seq), -1, np.int32)
-        rule_at[at[np.repeat(chosen, counts)]] = np.repeat(np.arange(len(pairs), dtype=np.int32), counts[chosen])
-        at = np.flatnonzero(rule_at >= 0)
-        place = rule_at[at]
+        # Places in order, each with its rule: 32 bits hold either, as a part's documents have fewer ids.
+        which = np.repeat(np.arange(len(pairs), dtype=np.uint64), counts[chosen])
+        both = np.sort((at[np.repeat(chosen, counts)].astype(np.uint64) << np.uint64(32)) | which)
+        at, place = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
         # From left to right: of pairs that overlap, every other one.
         run = np.concatenate([[True], np.diff(at) > 1])
         begin = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
         first = (np.arange(len(at)) - begin) % 2 == 0
-        used, rule = np.unique(place[first], return_inverse=True)
-        at = at[first]
+        at, place = at[first], place[first]
+        there = np.bincount(place, minlength=len(pairs)) > 0
+        used, rule = np.flatnonzero(there), (np.cumsum(there) - 1)[place]
         seq[at] = (terminals + made + rule).astype(np.uint32)
         open_[at] = open_[np.maximum(at - 1, 0)] = True
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
+        keep = np.flatnonzero(keep)
         seq, open_ = seq[keep], open_[keep]
         open_[-1] = False
         rules.append(np.stack([pairs[used] >> wide, pairs[used] & np.uint64((1 << int(wide)) - 1)], 1).astype(np.uint32))
@@ -243,19 +244,14 @@ class Runs:
         return self.flat[at], sizes
 
 
-def _distinct(keys: list[str]) -> tuple[list[str], np.ndarray]:
-    """The distinct keys and the place of each key among them."""
-    table = pa.array(keys, pa.large_string()).dictionary_encode()
-    return table.dictionary.to_pylist(), table.indices.to_numpy()
-
-
 class Encoder:
-    """Texts to ids with a ``tokenizers`` file; words, and pieces of words, are encoded once.
+    """Texts to ids with a ``tokenizers`` file; pieces and words are encoded once.
 
-    Only for tokenizers whose pre-tokens never span white space and drop it (checked): then a text's
-    ids are those of its words between blanks, one after the other. Of a word of ASCII and Latin-1 letters,
-    digits and marks the pieces are found here, if the tokenizer's steps are the known ones (checked), and
-    the library's model gives a piece's ids; any other word is encoded whole by the library.
+    If the tokenizer's steps are the known ones (checked), the pieces of a text of ASCII and Latin-1 letters,
+    digits and marks are found here, and the library's model gives a piece's ids. Else, if pre-tokens
+    never span white space and drop it (checked), a text's ids are those of its words between blanks, one
+    after the other; words that are not of such characters are encoded whole by the library. If they may
+    span it, so are texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -277,91 +273,78 @@ class Encoder:
         self.holds_added = re.compile("|".join(added) if added else "(?!)").search
         self.letters = byte_letters()
         self.mark_id = (self.tokenizer.encode(MARK, add_special_tokens=False).ids or [-1])[0]
-        self.pieces, self.odd = Runs(), Runs()
+        self.runs = Runs()
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with ``end_id`` behind, joined, and the number of each text's ids."""
-        if len(self.pieces.place) > CACHE:
-            self.pieces = Runs()
-        if len(self.odd.place) > CACHE:
-            self.odd = Runs()
+        if len(self.runs.place) > CACHE:
+            self.runs = Runs()
+        if "" not in self.runs.place:
+            self.runs.add([""], np.array([1]), np.array([end_id], np.uint32))
         keys: list[str] = []
         ends = []
         for t in texts:
-            # str.split parts at four control characters that the tokenizers' \s leaves alone.
-            if self.by_word and not any(c in t for c in "\x1c\x1d\x1e\x1f"):
-                keys += t.split()
-            else:
-                keys.append(f" {t}")  # no word begins with a blank: a whole text
-            keys.append("")  # no word is empty: the text's end
+            keys += self._keys(t)
+            keys.append("")  # no key is empty: the text's end
             ends.append(len(keys))
-        own, at = _distinct(keys)
-        runs = Runs()
-        runs.add([""], np.array([1]), np.array([end_id], np.uint32))
-        self._add_words([w for w in own if w], runs)
-        ids, sizes = runs.take(runs.places(own)[at])
+        # Equal keys of a batch are found in a compact table, so that the large one is asked once a key.
+        table = pa.array(keys, pa.large_string()).dictionary_encode()
+        own = table.dictionary.to_pylist()
+        places = self.runs.places(own)
+        lacking = np.flatnonzero(places < 0).tolist()
+        if lacking:
+            fresh = [own[i] for i in lacking]
+            self._learn(fresh)
+            places[lacking] = self.runs.places(fresh)
+        ids, sizes = self.runs.take(places[table.indices.to_numpy()])
         upto = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.array(ends, np.int64)])]
         return ids, np.diff(upto)
 
+    def _keys(self, text: str) -> list[str]:
+        """What a text's ids are joined from: pieces, words behind a blank, or the text behind two."""
+        if self.by_piece and PLAIN_TEXT(text) and not self.holds_added(text):
+            return PLAIN_PIECES(text.lower())
+        # str.split parts at four control characters that the tokenizers' \s leaves alone.
+        if not self.by_word or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return [f"  {text}"]
+        keys: list[str] = []
+        for w in text.split():
+            if self.by_piece and PLAIN_TEXT(w) and not self.holds_added(w):
+                keys += PLAIN_PIECES(w.lower())
+            else:
+                keys.append(f" {w}")
+        return keys
+
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _add_words(self, words: list[str], runs: Runs) -> None:
-        """Adds the ids of distinct words. Many a word is rare, but its letters, digits and marks, which
-        the tokenizer parts as well, are often known."""
-        plain, odd = words, []
-        joined = "\n".join(plain)
-        if not self.by_piece:
-            plain, odd = [], words
-        elif not PLAIN_LINES(joined) or self.holds_added(joined):
-            plain = [w for w in words if PLAIN_LINES(w) and not self.holds_added(w)]
-            odd = list({*words}.difference(plain))
-            joined = "\n".join(plain)
-        if plain:
-            own, at = _distinct(PLAIN_PIECES(joined.lower() + "\n"))
-            places = self.pieces.places(own)
-            lacking = np.flatnonzero(places < 0).tolist()
-            if lacking:
-                fresh = [own[i] for i in lacking]
-                self._learn_pieces(fresh)
-                places[lacking] = self.pieces.places(fresh)
-            ids, sizes = self.pieces.take(places[at])
-            last = np.flatnonzero(at == own.index("\n"))
-            runs.add(plain, np.diff(np.cumsum(sizes)[last], prepend=0), ids)
-        if odd:
-            fresh = [w for w in odd if w not in self.odd.place]
-            for i in range(0, len(fresh), 4096):
-                self._learn_odd(fresh[i : i + 4096])
-            ids, sizes = self.odd.take(self.odd.places(odd))
-            runs.add(odd, sizes, ids)
-
-    def _learn_pieces(self, fresh: list[str]) -> None:
-        """Ids of pieces, each a pre-token, by the library's model; a line's end has none."""
+    def _learn(self, keys: list[str]) -> None:
         tokenize, letters = self.model.tokenize, self.letters
+        plain = [k for k in keys if k[0] != " "]
         ids: list[int] = []
         ends = []
-        for p in fresh:
-            if p != "\n":
-                coded = p if p.isascii() else "".join([letters[b] for b in p.encode()])
-                ids += [t.id for t in tokenize(coded)]
+        for p in plain:
+            ids += [t.id for t in tokenize(p if p.isascii() else "".join([letters[b] for b in p.encode()]))]
             ends.append(len(ids))
-        self.pieces.add(fresh, np.diff(np.array(ends, np.int64), prepend=0), np.array(ids, np.uint32))
-
-    def _learn_odd(self, words: list[str]) -> None:
-        """Words of any letters, encoded as one text with a mark between them that none of them holds;
-        what begins with a blank is a whole text."""
-        plain = [w for w in words if MARK not in w and w[0] != " "]
-        ids = self._whole(f" {MARK} ".join([*plain, ""]))
+        self.runs.add(plain, np.diff(np.array(ends, np.int64), prepend=0), np.array(ids, np.uint32))
+        odd = [k for k in keys if k[0] == " " and k[:2] != "  " and MARK not in k]
+        for i in range(0, len(odd), 4096):
+            self._learn_odd(odd[i : i + 4096])
+        self._learn_whole([k for k in keys if k[0] == " " and (k[:2] == "  " or MARK in k)])
+
+    def _learn_odd(self, keys: list[str]) -> None:
+        """Words of any letters, encoded as one text with a mark between them that none of them holds."""
+        ids = self._whole(f" {MARK}".join([*keys, ""]))
         ends = np.flatnonzero(ids == self.mark_id)
-        if plain and len(ends) == len(plain):
-            cuts = np.concatenate([[-1], ends])
-            self.odd.add(plain, np.diff(cuts) - 1, np.delete(ids, ends))
+        if len(ends) == len(keys):
+            self.runs.add(keys, np.diff(ends, prepend=-1) - 1, np.delete(ids, ends))
         else:  # the mark is not an id of its own here
-            plain = []
-        rest = list({*words}.difference(plain))
-        alone = [self._whole(w[1:] if w[0] == " " else w) for w in rest]
-        if rest:
-            self.odd.add(rest, np.array([len(x) for x in alone]), np.concatenate(alone))
+            self._learn_whole(keys)
+
+    def _learn_whole(self, keys: list[str]) -> None:
+        alone = [self._whole(k[2:] if k[:2] == "  " else k[1:]) for k in keys]
+        if keys:
+            self.runs.add(keys, np.array([len(x) for x in alone]), np.concatenate(alone))
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
