@@ -21,8 +21,10 @@ def lookup(nodes: DataFrame, prefix: str) -> DataFrame:
 
 
 def lookup_many(nodes: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Nodes of all prefixes in a column ``prefix``; misses drop out."""
-    return prefixes.select("prefix").distinct().join(nodes, "prefix")
+    """Nodes of all prefixes in a column ``prefix``; misses drop out. Joined on the depth too, by which stored
+    nodes are partitioned, so that depths nobody asks for needn't be read."""
+    asked = prefixes.select("prefix").where(F.col("prefix").isNotNull()).distinct()
+    return asked.withColumn("depth", prefix_depth(F.col("prefix"))).join(nodes, ["depth", "prefix"])
 
 
 def at_position(nodes: DataFrame, pos: int) -> DataFrame:
@@ -67,7 +69,7 @@ def all_descendants(nodes: DataFrame, prefix: str) -> DataFrame:
     """Every node below ``prefix``, without itself."""
     if prefix and not prefix.endswith("/"):
         return nodes.where(F.lit(False))
-    return nodes.where(F.col("prefix").startswith(prefix) & (F.col("prefix") != prefix))
+    return nodes.where((F.col("depth") > prefix.count("/")) & F.col("prefix").startswith(prefix))
 
 
 def above(nodes: DataFrame, min_count: int = 0, min_bytes: int = 0) -> DataFrame:
@@ -79,6 +81,16 @@ def above(nodes: DataFrame, min_count: int = 0, min_bytes: int = 0) -> DataFrame
     return nodes
 
 
+def in_order(found: DataFrame, *, by_depth: bool = False) -> DataFrame:
+    """Found nodes in order of position, that is of prefix; with ``by_depth``, depth by depth."""
+    return found.orderBy("depth", "pos") if by_depth else found.orderBy("pos")
+
+
+def prefixes_in_order(nodes: DataFrame) -> DataFrame:
+    """(pos, prefix) of all nodes by position."""
+    return in_order(nodes).select("pos", "prefix")
+
+
 def iterate(found: DataFrame) -> Iterator:
     """Found nodes one by one, in order of position, a partition at a time on the driver."""
     return found.orderBy("pos").toLocalIterator()

@@ -40,7 +40,8 @@ def with_positions(nodes: DataFrame, ranges: int | None = None) -> DataFrame:
     nodes are cut into ranges by prefix, written (so that the sampled range bounds are fixed), counted
     per range, and numbered inside each range from where the ranges before it end.
     """
-    if ranges is None:
+    if ranges is None:  # counted where they are written, so that nothing is computed twice
+        nodes = _written(nodes)
         ranges = max(1, -(-nodes.count() // NODES_A_RANGE))
     if ranges == 1:
         return nodes.withColumn("pos", F.row_number().over(Window.orderBy("prefix")).cast("long") - 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.functions.prefixes import capped_depth, parent_dir, prefix_array
+from arborlake.functions.prefixes import capped_depth, parent_dir, prefix_array, prefix_depth
 from arborlake.functions.tiers import N_TIERS
 
 TIER_COLUMNS = [f"t{i}_{what}" for what in ("count", "bytes") for i in range(N_TIERS)]
@@ -41,8 +41,10 @@ def rollup(objects: DataFrame, *, tiers: bool = False, max_depth: int = 0) -> Da
     """
     dirs = directories(objects, tiers=tiers, max_depth=max_depth)
     columns = TOTALS + TIER_COLUMNS * tiers
-    flat = dirs.select(F.inline(prefix_array(F.col("prefix"))), *columns)
-    return flat.groupBy("prefix", "depth").agg(*[F.sum(c).alias(c) for c in columns])
+    flat = dirs.select(F.inline(prefix_array(F.col("prefix"))), *columns).drop("depth")
+    # Dealt by prefix alone: what groups by prefix afterwards needs no further shuffle.
+    whole = flat.groupBy("prefix").agg(*[F.sum(c).alias(c) for c in columns])
+    return whole.select("prefix", prefix_depth(F.col("prefix")).alias("depth"), *columns)
 
 
 def rollup_direct(objects: DataFrame, *, max_depth: int = 0) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +15,12 @@ from arborlake.functions.tiers import tier_id, tier_name
 from arborlake.operators import navigation as nav
 from arborlake.operators import pricing
 from arborlake.operators import tier_breakdown as tb
-from arborlake.operators.numbering import number_nodes
+from arborlake.operators.numbering import number_nodes, shared_folder
 from arborlake.operators.rollup import merge_rollups, prefix_rows, rollup, rollup_direct, rollup_tiers_long
+from arborlake.plans.build import build_index
+from arborlake.sources.inventory import read_csv_with_header, read_inventory, with_tiers
+from arborlake.sources.manifest import fetch_manifest, file_paths
+from arborlake.sources.store import Index, put_text, verify
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,12 +67,73 @@ def _rolled(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     return rollup(lineitem_objects(spark, sf_dir), **how)
 
 
-def _nodes(spark: SparkSession, sf_dir: str, tiers: bool = False) -> DataFrame:
-    return number_nodes(_rolled(spark, sf_dir, tiers=tiers), 1)
+#: Stored indexes by application and tables: walks ask the index, which is built once.
+_BUILT: dict[tuple[str, str], Index] = {}
 
 
-def _with_nodes(walk: Callable[[DataFrame], DataFrame], tiers: bool = False) -> Query:
-    return lambda spark, sf_dir: walk(_nodes(spark, sf_dir, tiers))
+def _index(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored index of the line items, built from a manifest and its listings at first use."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        out = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        folder, manifest = _listing(spark, sf_dir, "parquet")
+        build_index(spark, manifest, out, root=folder)
+        _BUILT[key] = Index.open(spark, out)
+    found = _BUILT[key]
+    return Index(spark.read.schema(found.nodes.schema).parquet(f"{found.path}/nodes"), found.manifest, found.tiers, found.path)
+
+
+def _with_nodes(walk: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: walk(_index(spark, sf_dir).nodes)
+
+
+#: Records of a listing that only a right reading gets right: a comma and a quote in a key, sizes that are none
+#: or beyond 63 bits, an empty key, a record without a size.
+ODD_RECORDS = ['b,"odd/a,b.txt",5,GLACIER,', 'b,"odd/q""x.txt",abc,,', "b,,7,STANDARD,", "b,odd/short", "b,odd/big.txt,18446744073709551615,STANDARD,"]
+FILE_SCHEMA = "Bucket, Key, Size, StorageClass, IntelligentTieringAccessTier"
+
+
+def _listing(spark: SparkSession, sf_dir: str, kind: str) -> tuple[str, str]:
+    """The inventory written as listings (csv, header, gzip or parquet); their folder and manifest."""
+    folder = f"{shared_folder(spark)}/listing-{uuid.uuid4().hex}"
+    rows = lineitem_inventory(spark, sf_dir)
+    if kind == "parquet":
+        rows.select("key", "size", "storage_class", F.col("access_tier").alias("intelligent_tiering_access_tier")).write.parquet(f"{folder}/data")
+    else:
+        text = rows.select(F.lit("b").alias("Bucket"), F.col("key").alias("Key"), F.col("size").alias("Size"), F.col("storage_class").alias("StorageClass"), F.col("access_tier").alias("IntelligentTieringAccessTier"))
+        options = {"escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "header": str(kind == "header").lower(), "compression": "gzip" if kind == "gzip" else "none"}
+        text.repartition(4).write.options(**options).csv(f"{folder}/data")
+        first = [",".join(text.columns)] if kind == "header" else []
+        if kind != "gzip":
+            odd = spark.range(1).select(F.explode(F.array(*map(F.lit, [*first, *ODD_RECORDS]))).alias("value"))
+            odd.coalesce(1).write.mode("append").text(f"{folder}/odd")
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*")
+    files = [f.split(folder.split(":", 1)[-1], 1)[1].lstrip("/") for f in reader.text(folder).inputFiles()]
+    manifest = {"sourceBucket": "b", "destinationBucket": "arn:aws:s3:::inventory", "fileFormat": "Parquet" if kind == "parquet" else "CSV", "fileSchema": FILE_SCHEMA, "files": [{"key": f, "size": 0} for f in files]}
+    put_text(spark, f"{folder}/manifest.json", json.dumps(manifest))
+    return folder, f"{folder}/manifest.json"
+
+
+def _scanned(kind: str) -> Query:
+    def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder, path = _listing(spark, sf_dir, kind)
+        manifest = fetch_manifest(spark, path)
+        if kind == "header":
+            return read_csv_with_header(spark, file_paths(manifest, folder))
+        return read_inventory(spark, manifest, folder)
+
+    return scan
+
+
+def index_breakdown(spark, sf_dir):
+    rows = _index(spark, sf_dir).breakdown(PREFIX)
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([{"tier_name": t, "object_count": n, "bytes": b} for t, n, b in rows])), F.lit("array<struct<tier_name:string,object_count:bigint,bytes:bigint>>"))))
+
+
+def index_manifest(spark, sf_dir):
+    index = _index(spark, sf_dir)
+    wrong = F.lit(len(verify(spark, index.path))).cast("bigint")
+    return spark.range(1).select(F.lit(index.count).cast("bigint").alias("node_count"), F.lit(index.max_depth).alias("max_depth"), F.lit(len(index.tiers)).cast("bigint").alias("tiers"), wrong.alias("changed_files"))
 
 
 def _tiers(spark: SparkSession, sf_dir: str, unit: int = 4096) -> DataFrame:
@@ -98,7 +165,7 @@ def tier_mapping(spark, sf_dir):
 
 
 def lookup_batch(spark, sf_dir):
-    nodes = _nodes(spark, sf_dir)
+    nodes = _index(spark, sf_dir).nodes
     asked = lineitem_objects(spark, sf_dir).select(parent_dir(F.col("key"), 3).alias("prefix"))
     return _slim(nav.lookup_many(nodes, asked))
 
@@ -124,11 +191,11 @@ QUERIES: dict[str, Query] = {
     "rollup_tiers_long": lambda s, d: rollup_tiers_long(lineitem_objects(s, d)),
     "tier_mapping": tier_mapping,
     "partial_merge": partial_merge,
-    "preorder_nodes": _with_nodes(lambda n: n),
+    "preorder_nodes": lambda s, d: number_nodes(_rolled(s, d)),
     "preorder_nodes_ranges": lambda s, d: number_nodes(_rolled(s, d), 4),
     "broken_ranges": _with_nodes(lambda n: nav.broken_ranges(n).select("prefix", "pos")),
     "index_summary": _with_nodes(nav.summary),
-    "present_tiers": _with_nodes(tb.present_tiers, tiers=True),
+    "present_tiers": _with_nodes(tb.present_tiers),
     "lookup_hit": _with_nodes(lambda n: _slim(nav.lookup(n, PREFIX))),
     "lookup_miss": _with_nodes(lambda n: _slim(nav.lookup(n, MISS))),
     "lookup_root": _with_nodes(lambda n: _slim(nav.lookup(n, ""))),
@@ -145,14 +212,26 @@ QUERIES: dict[str, Query] = {
     "children_min_both": _with_nodes(lambda n: _slim(nav.descendants_at(n, "", 3, min_count=1440, min_bytes=150_000_000))),
     "largest_prefixes": _with_nodes(lambda n: _slim(nav.largest(n, 10, depth=4))),
     "tier_breakdown": lambda s, d: tb.breakdown(_tiers(s, d)),
-    "tier_breakdown_all": lambda s, d: (lambda n: tb.breakdown_present(n, nav.lookup(n, PREFIX)))(_tiers(s, d)),
+    "tier_breakdown_all": lambda s, d: (lambda n: tb.breakdown_present(n, nav.lookup(n, PREFIX)))(_index(s, d).nodes),
     "tier_breakdown_map": tier_breakdown_map,
-    "cost_monthly": lambda s, d: pricing.cost_by_prefix(tb.breakdown(nav.lookup(_tiers(s, d), ""))),
-    "cost_per_tier": lambda s, d: pricing.cost_per_tier(tb.breakdown(nav.lookup(_tiers(s, d), PREFIX))),
-    "cost_detailed": lambda s, d: pricing.cost_detailed(tb.breakdown(nav.lookup(_tiers(s, d), ""))),
+    "cost_monthly": lambda s, d: pricing.cost_by_prefix(tb.breakdown(nav.lookup(_index(s, d).nodes, ""))),
+    "cost_per_tier": lambda s, d: pricing.cost_per_tier(tb.breakdown(nav.lookup(_index(s, d).nodes, PREFIX))),
+    "cost_detailed": lambda s, d: pricing.cost_detailed(tb.breakdown(nav.lookup(_index(s, d).nodes, ""))),
     "cost_all_prefixes": lambda s, d: pricing.cost_by_prefix(tb.breakdown(_tiers(s, d))),
     "cost_large_objects": lambda s, d: pricing.cost_by_prefix(tb.breakdown(_tiers(s, d, 65536))),
     "size_parse": size_parse,
+    "source_csv": _scanned("csv"),
+    "source_csv_header": _scanned("header"),
+    "source_csv_gzip": _scanned("gzip"),
+    "source_parquet": _scanned("parquet"),
+    "source_objects": lambda s, d: with_tiers(_scanned("csv")(s, d)),
+    "index_nodes": _with_nodes(lambda n: n.select("prefix", "depth", "pos", "subtree_end", "max_depth_in_subtree", "object_count", "total_bytes")),
+    "index_tiers": _with_nodes(tb.breakdown),
+    "index_prefixes": lambda s, d: _index(s, d).prefixes(),
+    "index_children": lambda s, d: _slim(_index(s, d).descendants(PREFIX, 1)),
+    "index_descendants": lambda s, d: _index(s, d).descendants_up_to("A/", 2).select("prefix", "depth", "rel_depth", "object_count"),
+    "index_breakdown": index_breakdown,
+    "index_manifest": index_manifest,
     "documents_tree": lambda s, d: rollup(document_objects(s, d)),
     "events_tree": lambda s, d: rollup(event_objects(s, d)),
     "url_tree": lambda s, d: rollup(page_objects(s, d)),
@@ -227,6 +306,9 @@ _WIDE = ", ".join([f"cast(count(*) filter (tier_id = {i}) as bigint) as t{i}_cou
 _FULL = f"{_TREE} select p.prefix, p.depth, cast(p.pos as bigint) as pos, cast(max(c.pos) as bigint) as subtree_end, max(c.depth) as max_depth_in_subtree, p.object_count, p.total_bytes from p join p c on starts_with(c.prefix, p.prefix) group by all"
 _TOKENS = "select unnest([" + ", ".join(f"'{t}'" for t in SIZE_TOKENS) + "]) as token"
 
+_SCANNED = f"with {_inventory()} select key, cast(size as bigint) as size, storage_class, access_tier from inv"
+_SCANNED_ODD = f"{_SCANNED} union all select * from (values ('odd/a,b.txt', 5, 'GLACIER', ''), ('odd/q\"x.txt', 0, '', ''), ('odd/big.txt', 9223372036854775807, 'STANDARD', ''))"
+
 ORACLES: dict[str, str] = {
     "prefix_extract": f"with {_inventory()}, {_exploded('inv')} select key, cast(depth as int) as depth, prefix from e",
     "prefix_extract_max_depth": f"with {_inventory()}, {_exploded('inv', 2)} select key, cast(depth as int) as depth, prefix from e",
@@ -266,6 +348,18 @@ ORACLES: dict[str, str] = {
     "cost_all_prefixes": f"{_cost()} {_TOTAL} group by prefix",
     "cost_large_objects": f"{_cost(65536)} {_TOTAL} group by prefix",
     "size_parse": f"select token, case when regexp_full_match(trim(token), '[0-9]+') and coalesce(try_cast(trim(token) as hugeint), 18446744073709551616::hugeint) <= 18446744073709551615::hugeint then cast(least(try_cast(trim(token) as hugeint), 9223372036854775807::hugeint) as bigint) else 0 end as size from ({_TOKENS})",
+    "source_csv": _SCANNED_ODD,
+    "source_csv_header": _SCANNED_ODD,
+    "source_csv_gzip": _SCANNED,
+    "source_parquet": _SCANNED,
+    "source_objects": f"with inv as ({_SCANNED_ODD}) select key, size, cast({_TIER} as int) as tier_id from inv",
+    "index_nodes": _FULL,
+    "index_tiers": f"{_breakdown()} select prefix, tier_id, tier_name, object_count, bytes from b",
+    "index_prefixes": f"{_TREE} select cast(pos as bigint) as pos, prefix from p",
+    "index_children": f"{_TREE} {_SLIM} where depth = 3 and starts_with(prefix, '{PREFIX}')",
+    "index_descendants": f"{_TREE} select prefix, depth, depth - 1 as rel_depth, object_count from p where depth between 2 and 3 and starts_with(prefix, 'A/')",
+    "index_breakdown": f"{_breakdown()} select tier_name, object_count, bytes from b where prefix = '{PREFIX}'",
+    "index_manifest": f"{_breakdown()} select cast(count(distinct prefix) as bigint) as node_count, max(depth) as max_depth, cast(count(distinct tier_id) as bigint) as tiers, cast(0 as bigint) as changed_files from b",
     "documents_tree": _tree_of(_DOCS),
     "events_tree": _tree_of(_EVENTS),
     "url_tree": _tree_of(_PAGES),

@@ -24,6 +24,10 @@ from arborlake.operators.rollup import TIER_COLUMNS, TOTALS
 VERSION = 1
 #: From so many nodes on, the table is partitioned by depth.
 PARTITION_FROM = 100_000
+#: Nodes of a file at most: files stay far below the 2 GB that a checksum can take at once.
+NODES_A_FILE = 1_000_000
+#: A bloom filter on the prefix lets look-ups of what isn't there, or is scattered, skip row groups.
+FILE_OPTIONS = {"maxRecordsPerFile": str(NODES_A_FILE), "parquet.bloom.filter.enabled#prefix": "true"}
 
 
 class StoreError(RuntimeError):
@@ -41,7 +45,8 @@ def _fs(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
-def _put(spark: SparkSession, path: str, text: str) -> None:
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small text file to any file system that Spark writes."""
     fs, jpath = _fs(spark, path)
     out = fs.create(jpath, True)
     try:
@@ -74,18 +79,18 @@ def write_index(nodes: DataFrame, path: str, *, partition: bool | None = None) -
     ordered = nodes.select(*node_schema(tiers).names)
     if by_depth:
         ordered = ordered.repartitionByRange("depth", "prefix").sortWithinPartitions("depth", "prefix")
-        ordered.write.mode("overwrite").partitionBy("depth").parquet(f"{path}/nodes")
+        ordered.write.options(**FILE_OPTIONS).mode("overwrite").partitionBy("depth").parquet(f"{path}/nodes")
     else:
-        ordered.orderBy("depth", "prefix").write.mode("overwrite").parquet(f"{path}/nodes")
+        ordered.orderBy("depth", "prefix").write.options(**FILE_OPTIONS).mode("overwrite").parquet(f"{path}/nodes")
     info = nav.summary(nodes).first()
     names = {r["tier_id"] for r in tier_breakdown.present_tiers(nodes).collect()} if tiers and total else set()
     present = [{"id": t.tier_id, "name": t.tier_name, "file": t.column} for t in TIERS if t.tier_id in names]
     listing = json.dumps({"tiers": present}, indent=2)
-    _put(spark, f"{path}/tiers.json", listing)
+    put_text(spark, f"{path}/tiers.json", listing)
     files = checksums(spark, path)
     files["../tiers.json"] = {"size": len(listing), "checksum": hashlib.sha256(listing.encode()).hexdigest()}
     manifest = {"version": VERSION, "created_at": datetime.datetime.now(datetime.UTC).isoformat(), "node_count": info["node_count"], "max_depth": info["max_depth"], "tiers": tiers, "partitioned": by_depth, "files": files}
-    _put(spark, f"{path}/manifest.json", json.dumps(manifest, indent=2))
+    put_text(spark, f"{path}/manifest.json", json.dumps(manifest, indent=2))
     return manifest
 
 
@@ -107,6 +112,7 @@ class Index:
     nodes: DataFrame
     manifest: dict
     tiers: list[dict]
+    path: str = ""
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Index:
@@ -115,7 +121,7 @@ class Index:
             raise StoreError(f"version {manifest.get('version')} isn't supported")
         listing = json.loads(_get(spark, f"{path}/tiers.json"))["tiers"]
         nodes = spark.read.schema(node_schema(manifest["tiers"])).parquet(f"{path}/nodes")
-        return cls(nodes, manifest, listing)
+        return cls(nodes, manifest, listing, path)
 
     @property
     def count(self) -> int:
@@ -141,10 +147,16 @@ class Index:
         return nav.prefix_of(self.nodes, pos)
 
     def descendants(self, prefix: str, rel_depth: int, min_count: int = 0, min_bytes: int = 0) -> DataFrame:
-        return nav.descendants_at(self.nodes, prefix, rel_depth, min_count, min_bytes)
+        """In order of position."""
+        return nav.in_order(nav.descendants_at(self.nodes, prefix, rel_depth, min_count, min_bytes))
 
     def descendants_up_to(self, prefix: str, max_rel_depth: int) -> DataFrame:
-        return nav.descendants_up_to(self.nodes, prefix, max_rel_depth)
+        """Depth by depth, each in order of position."""
+        return nav.in_order(nav.descendants_up_to(self.nodes, prefix, max_rel_depth), by_depth=True)
+
+    def prefixes(self) -> DataFrame:
+        """(pos, prefix) of all nodes, in order."""
+        return nav.prefixes_in_order(self.nodes)
 
     def iterate(self, prefix: str, rel_depth: int):
         return nav.iterate(self.descendants(prefix, rel_depth))

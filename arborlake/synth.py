@@ -43,3 +43,13 @@ def objects(spark: SparkSession, n: int, shape: str = "realistic", *, seed: int
         tier = F.when(u < cum, tid) if tier is None else tier.when(u < cum, tid)
     tier = F.lit(0) if tier is None else tier.otherwise(next(iter(mix)))
     return spark.range(n).select(key_of(shape, F.col("id")).alias("key"), ((F.col("id") % 1000 + 1) * 100).alias("size"), tier.cast("int").alias("tier_id"))
+
+
+def tree(spark: SparkSession, fanout: int, depth: int, objects_a_leaf: int = 1, *, seed: int = 42, tiers: dict[int, float] | None = None) -> DataFrame:
+    """Objects of a full tree: every directory down to ``depth`` has ``fanout`` others, and each of the deepest holds
+    ``objects_a_leaf`` objects; so there are (fanout ** (depth + 1) - 1) / (fanout - 1) prefixes with the root."""
+    n = fanout**depth * objects_a_leaf
+    mix = objects(spark, n, "wide_shallow", seed=seed, tiers=tiers)
+    leaf = F.floor(F.regexp_extract("key", r"file(\d+)", 1).cast("bigint") / objects_a_leaf)
+    names = [F.concat(F.lit("d"), (F.floor(leaf / fanout ** (depth - 1 - k)) % fanout).cast("string")) for k in range(depth)]
+    return mix.select(F.concat_ws("/", *names, F.regexp_extract("key", r"[^/]+$", 0)).alias("key"), "size", "tier_id")
