@@ -12,8 +12,9 @@ probability 0.99999.
 Texts of equal shingle sets are one node. In three rounds every bucket names one hub of its unsettled
 nodes, and all its nodes, settled or not, are compared with the hub, exactly, on their shingle sets.
 Nodes that a hub accepts are settled. Then the accepted links are followed, and in every bucket all pairs
-of nodes that are not joined yet are compared too. So the classes are those of all pairs that meet in a
-bucket, while nodes that are joined already, such as a large group of copies, are never paired.
+of nodes that are not joined yet, and whose bit maps allow it, are compared too. So the classes are those of
+all pairs that meet in a bucket, while nodes that are joined already, such as a large group of copies, are
+never paired. Sets are held as 32-bit hashes.
 Classes are the connected components of the accepted links.
 """
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.llm.common import HOT, free_name, join_hot, map_arrow, shared_folder, word_bytes, written
+from arborlake.llm.common import HOT, batches_by_bytes, free_name, join_hot, map_arrow, shared_folder, word_bytes, written
 
 SHINGLE, BANDS, BAND_SLOTS = 5, 50, 7
 SLOTS = BANDS * BAND_SLOTS
@@ -37,6 +38,10 @@ CACHE = 250_000
 MAP_BITS = 1 << 21
 #: Bits of the map of rows that go; fixed, so that it may be broadcast.
 ROW_MAP_BITS = 1 << 23
+#: Characters of text that are signed at once; a text is signed whole, however long.
+SIGN_BYTES = 1 << 20
+#: Bits of a set's map, a multiple of 64.
+SET_MAP_BITS = 1_024
 #: Pairs of one node that meet one copy of its set.
 SALT = 4_096
 #: Nodes of a bucket that one task pairs at a time with those outside of the bucket's main component.
@@ -126,28 +131,31 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node row id, id, text hash, shingle count, set hash, band keys, shingles as int32), written."""
+    """(node row id, id, text hash, shingle count, set hash, band keys, shingles as int32, bit map), written."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            sets = [shingler.shingles(t) for t in batch.column(3).to_pylist()]
-            keys = band_keys(prob_min_hash([e for e, _ in sets], [np.ones(len(e)) for e, _ in sets]))
-            digests = [hashlib.blake2b(e.tobytes(), digest_size=16).digest() if len(e) else None for e, _ in sets]
-            short = [np.unique((e >> np.uint64(32)).astype(np.uint32)).view(np.int32) for e, _ in sets]
-            bands = [k if len(e) else k[:0] for k, (e, _) in zip(keys, sets, strict=True)]
-            columns = [
-                *batch.columns[:3],
-                pa.array([len(e) for e, _ in sets], pa.int64()),
-                pa.array(digests, pa.binary()),
-                _lists(bands, pa.int64()),
-                _lists(short, pa.int32()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["rid", "id", "text_hash", "n", "digest", "bands", "shingles"])
-
-    return written(map_arrow(rows, run, f"rid bigint, id {kind}, text_hash bigint, n bigint, digest binary, bands array<bigint>, shingles array<int>"), "near-signatures")
+            texts = batch.column(3).to_pylist()
+            for part in batches_by_bytes(texts, SIGN_BYTES):
+                sets = [shingler.shingles(t)[0] for t in texts[part]]
+                keys = band_keys(prob_min_hash(sets, [np.ones(len(e)) for e in sets]))
+                digests = [hashlib.blake2b(e.tobytes(), digest_size=16).digest() if len(e) else None for e in sets]
+                short = [np.unique((e >> np.uint64(32)).astype(np.uint32)).view(np.int32) for e in sets]
+                bands = [k if len(e) else k[:0] for k, e in zip(keys, sets, strict=True)]
+                columns = [
+                    *(c.slice(part.start, part.stop - part.start) for c in batch.columns[:3]),
+                    pa.array([len(e) for e in short], pa.int64()),
+                    pa.array(digests, pa.binary()),
+                    _lists(bands, pa.int64()),
+                    _lists(short, pa.int32()),
+                    _lists([set_map(e) for e in short], pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["rid", "id", "text_hash", "n", "digest", "bands", "shingles", "map"])
+
+    return written(map_arrow(rows, run, f"rid bigint, id {kind}, text_hash bigint, n bigint, digest binary, bands array<bigint>, shingles array<int>, map array<bigint>"), "near-signatures")
 
 
 def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
@@ -247,30 +255,48 @@ def _links(signed: DataFrame, nodes: DataFrame, threshold: tuple[int, int], roun
 
     read = signed.sparkSession.read.schema("a bigint, b bigint, turn int")
     hub_links = read.parquet(folder).select("a", "b").distinct()
-    _verified(_apart(met, hub_links, threshold), sets, threshold).write.parquet(f"{folder}/turn={rounds}")
+    _verified(_apart(met, hub_links, signed, threshold), sets, threshold).write.parquet(f"{folder}/turn={rounds}")
     return written(read.parquet(folder).select("a", "b").distinct(), "near-links")
 
 
-def _apart(met: DataFrame, links: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of nodes that share a bucket, are of fitting sizes and that ``links`` do not join yet,
-    however indirectly. A bucket's largest component isn't paired with itself, so that only what lies
-    outside of it meets all nodes, in blocks."""
+def _apart(met: DataFrame, links: DataFrame, signed: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of nodes that share a bucket, may reach the threshold and that ``links`` do not join
+    yet, however indirectly. A bucket's largest component isn't paired with itself, so that only what lies
+    outside of it meets all nodes, in blocks.
+
+    Nodes are met with their bit maps, and a pair is made only if these allow it: every bit in which two maps
+    differ is due to an element that one set lacks, so sets of n and m elements whose maps differ in h bits
+    have (n + m - h) / 2 elements in common at most. No pair that reaches the threshold is lost.
+    """
     num, den = threshold
     roots = connected_components(links).select(F.col("node").alias("rid"), "root")
     entries = met.select("rid", "n", "key", "m").join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     parts = entries.groupBy("key", "root").agg(F.count("*").alias("k"))
     parts = parts.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    entries = written(entries.join(parts, "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")), "near-apart")
+    entries = written(entries.join(parts, "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).drop("m"), "near-apart")
+    maps = _taking_part(signed.select("rid", "map"), entries.select("rid"))
+    entries = entries.join(maps, "rid")
+
     minor = entries.where("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    minor = minor.select("key", "block", F.col("rid").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"))
+    minor = minor.select("key", "block", F.col("rid").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"), F.col("map").alias("map_x"))
     every = entries.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     fits = (F.col("n") * den >= num * F.col("n_x")) & (F.col("n_x") * den >= num * F.col("n"))
+    differ = sum((F.bit_count(F.get("map", i).bitwiseXOR(F.get("map_x", i))) for i in range(1, SET_MAP_BITS // 64)), F.bit_count(F.get("map", 0).bitwiseXOR(F.get("map_x", 0))))
+    both = F.col("n") + F.col("n_x")
+    enough = (both - differ) * (num + den) >= both * (2 * num)
     once = (F.col("root") == F.col("main")) | (F.col("x") < F.col("rid"))
     same = (minor["key"] == every["key"]) & (minor["block"] == every["block"])
-    pairs = minor.join(every, same & (F.col("root") != F.col("root_x")) & once & fits)
+    pairs = minor.join(every, same & (F.col("root") != F.col("root_x")) & once & fits & enough)
     return pairs.select(F.least("x", "rid").alias("a"), F.greatest("x", "rid").alias("b")).distinct()
 
 
+def set_map(elements: np.ndarray) -> np.ndarray:
+    """A bit map of a set of hashes, as longs."""
+    bits = np.zeros(SET_MAP_BITS, np.uint8)
+    bits[elements.astype(np.int64) & (SET_MAP_BITS - 1)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (4, 5)) -> DataFrame:
     """A row per row of ``docs``: the id, ``text_hash``, ``class_id`` (the least id of the class), ``class_size``,
     ``n_links`` (verified links of the row's shingle set to other sets) and ``stays`` (true for one row of

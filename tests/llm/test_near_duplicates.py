@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from arborlake.llm.near_duplicates import SLOTS, near_duplicate_classes, prob_min_hash, without_near_duplicates
+from arborlake.llm.near_duplicates import SLOTS, near_duplicate_classes, prob_min_hash, set_map, without_near_duplicates
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -178,3 +178,13 @@ def test_hot_hubs_and_classes(spark, monkeypatch):
     got = near_duplicate_classes(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)).collect()
     sizes = {r["doc_id"]: (r["class_id"], r["class_size"], r["stays"]) for r in got}
     assert all(sizes[i] == (0, 400, i == 0) for i in range(400)) and all(sizes[i] == (i, 1, True) for i in [*range(400, 420), 500, 501])
+
+
+def test_maps_bound_what_is_common():
+    rng = np.random.default_rng(5)
+    for n in (5, 80, 400, 3000):
+        for _ in range(20):
+            x = np.unique(rng.integers(0, 2**32, n).astype(np.uint32)).view(np.int32)
+            y = np.unique(np.concatenate([x[rng.random(len(x)) < rng.random()], rng.integers(0, 2**32, rng.integers(1, n)).astype(np.uint32).view(np.int32)]))
+            differ = int(np.bitwise_count((set_map(x) ^ set_map(y)).view(np.uint64)).sum())
+            assert len(np.intersect1d(x, y)) <= (len(x) + len(y) - differ) / 2
