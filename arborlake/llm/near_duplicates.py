@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborlake.llm.common import HOT, batches_by_bytes, free_name, join_hot, map_arrow, shared_folder, word_bytes, written
@@ -42,6 +42,8 @@ ROW_MAP_BITS = 1 << 23
 SIGN_BYTES = 1 << 20
 #: Bits of a set's map, a multiple of 64.
 SET_MAP_BITS = 1_024
+#: Sets up to this size in all may be broadcast.
+BROADCAST_BYTES = 32 << 20
 #: Pairs of one node that meet one copy of its set.
 SALT = 4_096
 #: Nodes of a bucket that one task pairs at a time with those outside of the bucket's main component.
@@ -201,24 +203,46 @@ def _taking_part(rows: DataFrame, rids: DataFrame) -> DataFrame:
     return rows.withColumn("word", word).join(F.broadcast(bits), "word").where(F.bit_get("bits", bit) == 1).drop("word", "bits")
 
 
+def _may_reach(n: Column, m: Column, map_n: Column, map_m: Column, threshold: tuple[int, int]) -> Column:
+    """Whether sets of ``n`` and ``m`` elements may be as similar as the threshold by their bit maps: every bit
+    in which these differ is due to an element that one set lacks, so if they differ in h bits, at most
+    (n + m - h) / 2 elements are common."""
+    num, den = threshold
+    bits = [F.bit_count(F.get(map_n, i).bitwiseXOR(F.get(map_m, i))) for i in range(SET_MAP_BITS // 64)]
+    return (n + m - sum(bits[1:], bits[0])) * (num + den) >= (n + m) * (2 * num)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Of (a, b), those whose sets' Jaccard similarity is at least the threshold (a fraction).
 
-    A node of very many pairs, such as the hub of a large group, has its pairs dealt over several tasks,
-    each with a copy of its set: there are fewer such nodes than HOT, and a copy for every SALT pairs.
+    Bit maps go first, so that only sets of pairs that may reach it are fetched. The sets of ``b``, which are few
+    where they are hubs or what is left over, are broadcast if they come to BROADCAST_BYTES at most, by their
+    measured size; else they are met by a shuffle.
     """
-    pairs = written(pairs, "near-candidates")
+    maps = [sets.select(F.col("rid").alias(x), F.col("n").alias(f"n_{x}"), F.col("map").alias(f"map_{x}")) for x in "ab"]
+    may = _may_reach(F.col("n_a"), F.col("n_b"), F.col("map_a"), F.col("map_b"), threshold)
+    pairs = written(pairs.join(maps[0], "a").join(maps[1], "b").where(may).select("a", "b"), "near-candidates")
+    num, den = threshold
+    side = {x: _taking_part(sets.drop("map"), pairs.select(F.col(x).alias("rid"))).select(F.col("rid").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab"}
+    met = pairs.join(side["a"].hint("merge"), "a")
+    if 4 * (side["b"].agg(F.sum("n_b")).first()[0] or 0) <= BROADCAST_BYTES:
+        both = met.join(F.broadcast(side["b"]), "b")
+    else:
+        both = _dealt(met, side["b"], pairs)
+    both = both.withColumn("common", F.size(F.array_intersect("s_a", "s_b")))
+    return both.where(F.col("common") * den >= num * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
+
+
+def _dealt(met: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``met`` joined with the sets of ``b``. A node of very many pairs, such as the hub of a large group, has its
+    pairs dealt over several tasks, each with a copy of its set: there are fewer such nodes than HOT, and a
+    copy for every SALT pairs."""
     counts = pairs.groupBy("b").agg(F.count("*").alias("m")).where(F.col("m") > SALT)
     hot = counts.where(F.col("m") * HOT > pairs.count()).select("b", F.ceil(F.col("m") / SALT).cast("int").alias("salts"))
     hot = F.broadcast(written(hot, "near-hot"))
-    some = _taking_part(sets, pairs.select(F.col("a").alias("rid")).union(pairs.select("b")))
-    a = some.select(F.col("rid").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
-    b = some.select(F.col("rid").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b")).join(hot, "b", "left")
-    b = b.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    dealt = pairs.join(hot, "b", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
-    num, den = threshold
-    both = dealt.join(a, "a").join(b, ["b", "salt"]).withColumn("common", F.size(F.array_intersect("s_a", "s_b")))
-    return both.where(F.col("common") * den >= num * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
+    b = b.join(hot, "b", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    dealt = met.join(hot, "b", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+    return dealt.join(b.hint("merge"), ["b", "salt"])
 
 
 def _links(signed: DataFrame, nodes: DataFrame, threshold: tuple[int, int], rounds: int = 3) -> DataFrame:
@@ -227,7 +251,7 @@ def _links(signed: DataFrame, nodes: DataFrame, threshold: tuple[int, int], roun
     entries = nodes.select("rid", "n", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     met = written(entries.join(shared, "key"), "near-buckets")
-    sets = written(_taking_part(signed.select("rid", "n", "shingles"), met.select("rid")), "near-sets")
+    sets = written(_taking_part(signed.select("rid", "n", "shingles", "map"), met.select("rid")), "near-sets")
     rank = met.groupBy("rid").agg(F.sum("m").alias("rank"))
     waiting = written(met.select("rid", "n", "key").join(rank, "rid").withColumn("open", F.lit(True)), "near-buckets")
 
@@ -240,33 +264,33 @@ def _links(signed: DataFrame, nodes: DataFrame, threshold: tuple[int, int], roun
         hubs = waiting.groupBy("key").agg(hub.alias("hub")).select("key", F.col("hub.rid").alias("b"), F.col("hub.n").alias("n_b"))
         others = waiting.join(hubs, "key").where("rid <> b")
         fits = (F.col("n") * den >= num * F.col("n_b")) & (F.col("n_b") * den >= num * F.col("n"))
-        pairs = others.where(fits).select(F.least("rid", "b").alias("a"), F.greatest("rid", "b").alias("b")).distinct()
+        pairs = others.where(fits).select(F.col("rid").alias("a"), "b").distinct()
         good = _verified(pairs, sets, threshold)
         good.write.parquet(f"{folder}/turn={turn}")
         good = good.sparkSession.read.schema(good.schema).parquet(f"{folder}/turn={turn}")
         if turn + 1 == rounds:
             break
-        both = good.union(good.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("rid"), "b", F.lit(True).alias("ok"))
-        left = others.join(both, ["rid", "b"], "left").withColumn("open", F.col("open") & F.col("ok").isNull()).select("rid", "n", "key", "rank", "open")
+        near = good.select(F.col("a").alias("rid"), "b", F.lit(True).alias("ok"))
+        left = others.join(near, ["rid", "b"], "left").withColumn("open", F.col("open") & F.col("ok").isNull()).select("rid", "n", "key", "rank", "open")
         still = left.groupBy("key").agg(F.max("open").alias("some"), F.count("*").alias("m")).where("some and m > 1")
         waiting = written(left.join(still.select("key"), "key"), "near-buckets")
         if not waiting.take(1):
             break
 
     read = signed.sparkSession.read.schema("a bigint, b bigint, turn int")
-    hub_links = read.parquet(folder).select("a", "b").distinct()
-    _verified(_apart(met, hub_links, signed, threshold), sets, threshold).write.parquet(f"{folder}/turn={rounds}")
-    return written(read.parquet(folder).select("a", "b").distinct(), "near-links")
+    once = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    hub_links = read.parquet(folder).select(*once).distinct()
+    _verified(_apart(met, hub_links, sets, threshold), sets, threshold).write.parquet(f"{folder}/turn={rounds}")
+    return written(read.parquet(folder).select(*once).distinct(), "near-links")
 
 
-def _apart(met: DataFrame, links: DataFrame, signed: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+def _apart(met: DataFrame, links: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Pairs (a, b) of nodes that share a bucket, may reach the threshold and that ``links`` do not join
     yet, however indirectly. A bucket's largest component isn't paired with itself, so that only what lies
     outside of it meets all nodes, in blocks.
 
-    Nodes are met with their bit maps, and a pair is made only if these allow it: every bit in which two maps
-    differ is due to an element that one set lacks, so sets of n and m elements whose maps differ in h bits
-    have (n + m - h) / 2 elements in common at most. No pair that reaches the threshold is lost.
+    Nodes are met with their bit maps, and a pair is made only if these allow it. No pair that reaches the
+    threshold is lost.
     """
     num, den = threshold
     roots = connected_components(links).select(F.col("node").alias("rid"), "root")
@@ -274,20 +298,17 @@ def _apart(met: DataFrame, links: DataFrame, signed: DataFrame, threshold: tuple
     parts = entries.groupBy("key", "root").agg(F.count("*").alias("k"))
     parts = parts.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
     entries = written(entries.join(parts, "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).drop("m"), "near-apart")
-    maps = _taking_part(signed.select("rid", "map"), entries.select("rid"))
-    entries = entries.join(maps, "rid")
+    entries = entries.join(_taking_part(sets.select("rid", "map"), entries.select("rid")), "rid")
 
     minor = entries.where("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     minor = minor.select("key", "block", F.col("rid").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"), F.col("map").alias("map_x"))
     every = entries.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     fits = (F.col("n") * den >= num * F.col("n_x")) & (F.col("n_x") * den >= num * F.col("n"))
-    differ = sum((F.bit_count(F.get("map", i).bitwiseXOR(F.get("map_x", i))) for i in range(1, SET_MAP_BITS // 64)), F.bit_count(F.get("map", 0).bitwiseXOR(F.get("map_x", 0))))
-    both = F.col("n") + F.col("n_x")
-    enough = (both - differ) * (num + den) >= both * (2 * num)
+    enough = _may_reach(F.col("n"), F.col("n_x"), F.col("map"), F.col("map_x"), threshold)
     once = (F.col("root") == F.col("main")) | (F.col("x") < F.col("rid"))
     same = (minor["key"] == every["key"]) & (minor["block"] == every["block"])
     pairs = minor.join(every, same & (F.col("root") != F.col("root_x")) & once & fits & enough)
-    return pairs.select(F.least("x", "rid").alias("a"), F.greatest("x", "rid").alias("b")).distinct()
+    return pairs.select(F.col("rid").alias("a"), F.col("x").alias("b")).distinct()
 
 
 def set_map(elements: np.ndarray) -> np.ndarray:

@@ -171,6 +171,7 @@ def test_recall_at_the_threshold(spark):
 
 def test_hot_hubs_and_classes(spark, monkeypatch):
     monkeypatch.setattr("arborlake.llm.near_duplicates.SALT", 8)
+    monkeypatch.setattr("arborlake.llm.near_duplicates.BROADCAST_BYTES", 0)
     rng = random.Random(2)
     base = [f"h{i}" for i in range(150)]
     rows = [(0, " ".join(base))] + [(i, " ".join([*base[:100], f"x{i}", *base[101:]]) if i % 2 else " ".join(base)) for i in range(1, 400)]
