@@ -71,3 +71,39 @@ def test_gradient_lowers_the_loss():
     model = tx.train(texts, [0] * 30 + [1] * 30, epochs=10)
     p, _ = tx.Scorer(model).raw(["good fine words here", "bad evil words here"])
     assert p[0] < 0.2 and p[1] > 0.8
+
+
+def test_long_labelled_texts_are_learned(spark, corpus):
+    docs, labels = corpus
+    own = []
+    for i in range(240):
+        filler = [f"en{i % 7}"] * 17_000
+        if i % 2:
+            filler[70 * i] = "venomous"
+        own.append((5000 + i, " ".join(filler), i % 2))
+    assert all(len(t) > 50_000 for _, t, _ in own)
+    long = spark.createDataFrame(own, "doc_id bigint, text string, toxic int")
+    model = tx.fit(docs.unionByName(long.drop("toxic")), labels.unionByName(long.drop("text")))
+    texts = ["the of venomous and en1 en2", "the of and en1 en2"]
+    assert (tx.Scorer(model).score(texts) >= tx.CUT).tolist() == [True, False]
+
+
+def test_every_labelled_row_is_used_in_parts(spark, corpus, monkeypatch):
+    docs, labels = corpus
+    docs = docs.unionByName(docs.where("doc_id = 5 or doc_id % 100 = 7").withColumn("text", F.concat("text", F.lit(" again"))))
+    known = labels.where("toxic is not null").selectExpr("cast(doc_id as string) as id", "toxic as label").where("id is not null and crc32(id) % 3 <> 1").withColumn("lot", tx._lot())
+    dealt = tx._labelled(docs, known, "doc_id", "text", 4).collect()
+    wanted = docs.join(known.select(F.col("id").cast("long").alias("doc_id"), "label"), "doc_id").select("label", "text").collect()
+    assert sorted((r["label"], r["text"]) for r in dealt) == sorted(map(tuple, wanted)) and {r["part"] for r in dealt} == set(range(4))
+
+    monkeypatch.setattr(tx, "PART_ROWS", 300)
+    model, again = tx.fit(docs, labels), tx.fit(docs.repartition(5), labels.repartition(3))
+    assert np.array_equal(again.table, model.table) and np.array_equal(again.out, model.out) and again.thresholds == model.thresholds
+    rows = tx.toxicity_scores(docs, model).join(labels, "doc_id").where("toxic is not null and crc32(cast(doc_id as string)) % 3 = 1").collect()
+    assert np.mean([r["predicted"] == r["toxic"] for r in rows]) > 0.95
+
+
+def test_thresholds_count_equal_logits_together():
+    model = tx.train([b"good"] * 30 + [b"bad"] * 30, [0] * 30 + [1] * 30)
+    tx.calibrate(model, [(0, 2048, 40, 30), (0, -2048, 60, 0), (1, 0, 5, 1)])
+    assert model.thresholds["en"] == pytest.approx(0.5) and model.thresholds["de"] == model.thresholds["other"]
