@@ -36,7 +36,7 @@ SLOTS = BANDS * BAND_SLOTS
 CACHE = 250_000
 #: Bits of the map of nodes that take part in a round; fixed, so that it may be broadcast.
 MAP_BITS = 1 << 21
-#: Bits of the map of rows that go; fixed, so that it may be broadcast.
+#: Bits of the map of rows that go, and of sets that several rows have; fixed, so that it may be broadcast.
 ROW_MAP_BITS = 1 << 23
 #: Characters of text that are signed at once; a text is signed whole, however long.
 SIGN_BYTES = 1 << 20
@@ -203,6 +203,23 @@ def _taking_part(rows: DataFrame, rids: DataFrame) -> DataFrame:
     return rows.withColumn("word", word).join(F.broadcast(bits), "word").where(F.bit_get("bits", bit) == 1).drop("word", "bits")
 
 
+def _nodes(some: DataFrame, groups: DataFrame) -> DataFrame:
+    """(rid, n, bands) of the first row of each shingle set.
+
+    A map of fixed size, of sets that several rows have, is broadcast: a row whose set isn't in it is the only one
+    and stays where it is. Only the others, bands and all, are shuffled to see which of them are first.
+    """
+    place = F.xxhash64("digest").bitwiseAND(F.lit(ROW_MAP_BITS - 1))
+    bit = place.bitwiseAND(F.lit(63)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    bits = groups.where("rows > 1").groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(one).alias("bits"))
+    may_repeat = F.coalesce(F.bit_get("bits", bit) == 1, F.lit(False))
+    rows, firsts = (df.withColumn("word", F.shiftright(place, 6)).join(F.broadcast(bits), "word", "left") for df in (some.select("rid", "n", "bands", "digest"), groups.select("node", "digest")))
+    firsts = firsts.where(may_repeat).select(F.col("node").alias("rid"))
+    only = rows.where(~may_repeat).select("rid", "n", "bands")
+    return only.unionByName(rows.where(may_repeat).select("rid", "n", "bands").join(firsts, "rid", "left_semi"))
+
+
 def _may_reach(n: Column, m: Column, map_n: Column, map_m: Column, threshold: tuple[int, int]) -> Column:
     """Whether sets of ``n`` and ``m`` elements may be as similar as the threshold by their bit maps: every bit
     in which these differ is due to an element that one set lacks, so if they differ in h bits, at most
@@ -331,8 +348,7 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     signed = _signed(docs, id_col, text_col)
     some = signed.where("n > 0")
     groups = written(some.groupBy("digest").agg(F.min("rid").alias("node"), F.min(F.struct("id", "rid")).alias("least"), F.count("*").alias("rows")), "near-groups")
-    nodes = some.select("rid", "n", "bands").join(groups.select(F.col("node").alias("rid")), "rid")
-    links = _links(signed, nodes, threshold)
+    links = _links(signed, _nodes(some, groups), threshold)
 
     # Classes of sets, not of rows: a row learns of its class by its set alone.
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))

@@ -189,3 +189,35 @@ def test_maps_bound_what_is_common():
             y = np.unique(np.concatenate([x[rng.random(len(x)) < rng.random()], rng.integers(0, 2**32, rng.integers(1, n)).astype(np.uint32).view(np.int32)]))
             differ = int(np.bitwise_count((set_map(x) ^ set_map(y)).view(np.uint64)).sum())
             assert len(np.intersect1d(x, y)) <= (len(x) + len(y) - differ) / 2
+
+
+def shuffled_bytes(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, None)
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_bands_of_rows_alone_with_their_set_are_not_shuffled(spark):
+    rng = random.Random(13)
+    rows = [(i, " ".join(f"a{rng.randrange(10**9)}" for _ in range(12))) for i in range(3000)]
+    df = spark.createDataFrame([*rows, (3000, rows[7][1]), (3001, rows[7][1])], "doc_id bigint, text string").repartition(4)
+    before, limit = shuffled_bytes(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if tables were large
+    try:
+        got = {r["doc_id"]: r["class_id"] for r in near_duplicate_classes(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    written = sum(b for s, b in shuffled_bytes(spark).items() if s not in before)
+    assert got == {i: 7 if i in (3000, 3001) else i for i in range(3002)}
+    assert written < 1900 * len(got)
+
+
+def test_nodes_where_sets_share_a_bit_of_the_map(spark, monkeypatch):
+    monkeypatch.setattr("arborlake.llm.near_duplicates.ROW_MAP_BITS", 64)
+    rows = [(i, f"one set of words {i // 3 if i < 30 else i}") for i in range(200)] + [(900, None), (901, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = {r["doc_id"]: (r["class_id"], r["class_size"], r["n_links"]) for r in near_duplicate_classes(df).collect()}
+    assert got == {i: (i // 3 * 3, 3, 0) if i < 30 else (i, 1, 0) for i, _ in rows}
