@@ -40,9 +40,14 @@ MARK = "\x01"
 #: What the word-end tokenizers do to a text before their merges.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Texts of these characters alone are normalised by str.lower and parted by PLAIN_PIECES just so.
+#: Texts of these characters alone are normalised by str.lower and parted by plain_pieces just so.
 PLAIN_TEXT = re.compile("[\t-\r !-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*").fullmatch
-PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-/:-@\\[-`{-~]+").findall
+#: Bytes that no plain text holds: the end of a text, and a word that isn't plain.
+END, ODD = b"\x00", b"\x01"
+#: Latin-1 bytes of such letters to lower case, and the kinds of lower-cased bytes.
+LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A or (0xC0 <= b <= 0xDE and b != 0xD7) else b for b in range(256))
+BLANK, LETTER, SIGN, ALONE = range(4)
+KINDS = bytes(LETTER if 0x61 <= b <= 0x7A or b >= 0xC0 else ALONE if 0x30 <= b <= 0x39 or b in (0, 1) else SIGN if 0x21 <= b <= 0x7E else BLANK for b in range(256))
 #: Sections whose sums are added up at once.
 SECTIONS_A_CHUNK = 1_024
 
@@ -209,6 +214,26 @@ class Part:
         return self.ids(int(self.ends[i - 1]) if i else 0, int(self.ends[i]))
 
 
+def plain_pieces(text: bytes) -> pa.LargeBinaryArray:
+    """The lower-cased PIECES of plain texts in Latin-1, END behind each; every END and ODD is a piece too."""
+    text = text.translate(LOWER)
+    low, kind = np.frombuffer(text, np.uint8), np.frombuffer(text.translate(KINDS), np.uint8)
+    solid = kind != BLANK
+    begins = solid & ((np.diff(kind, prepend=np.uint8(BLANK)) != 0) | (kind == ALONE))
+    # 's, 't, 'm, 'd, 're, 've, 'll where a piece begins; what follows is a piece of its own.
+    at = np.flatnonzero(low == ord("'"))
+    at = at[begins[at]]
+    one, two = low[at + 1], low[np.minimum(at + 2, len(low) - 1)]
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = (np.isin(one, np.frombuffer(b"rv", np.uint8)) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+    begins[at[short | long] + 1] = False
+    after = np.concatenate([at[short] + 2, at[long] + 3])
+    begins[after[kind[after] == LETTER]] = True
+    low, starts = low[solid], np.flatnonzero(begins[solid])
+    offsets = np.append(starts, len(low)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(low)])
+
+
 class Runs:
     """Runs of ids by key, one after the other in a flat array."""
 
@@ -279,58 +304,66 @@ class Encoder:
         """The ids of all texts, each with ``end_id`` behind, joined, and the number of each text's ids."""
         if len(self.runs.place) > CACHE:
             self.runs = Runs()
-        if "" not in self.runs.place:
-            self.runs.add([""], np.array([1]), np.array([end_id], np.uint32))
-        keys: list[str] = []
-        ends = []
-        for t in texts:
-            keys += self._keys(t)
-            keys.append("")  # no key is empty: the text's end
-            ends.append(len(keys))
-        # Equal keys of a batch are found in a compact table, so that the large one is asked once a key.
-        table = pa.array(keys, pa.large_string()).dictionary_encode()
-        own = table.dictionary.to_pylist()
-        places = self.runs.places(own)
+        if END not in self.runs.place:
+            self.runs.add([END, ODD], np.array([1, 0]), np.array([end_id], np.uint32))
+        odd: list[str] = []
+        plain = END.join([*(self._plain(t, odd) for t in texts), b""])
+        # Equal pieces of a batch are found in a compact table, so that the large one is asked once a piece.
+        table = plain_pieces(plain).dictionary_encode()
+        own, indices = table.dictionary.to_numpy(zero_copy_only=False).tolist(), table.indices.to_numpy()
+        ends, others = (indices == own.index(mark) if mark in own else np.zeros(len(indices), bool) for mark in (END, ODD))
+        places = self._places(own)[indices]
+        if odd:
+            words = pa.array(odd, pa.large_string()).dictionary_encode()
+            places[others] = self._places(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        ids, sizes = self.runs.take(places)
+        upto = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.flatnonzero(ends) + 1])]
+        return ids, np.diff(upto)
+
+    def _places(self, keys: list[bytes] | list[str]) -> np.ndarray:
+        """Where the runs of distinct keys, plain pieces or odd words, are kept; those that aren't known yet are learnt."""
+        places = self.runs.places(keys)
         lacking = np.flatnonzero(places < 0).tolist()
         if lacking:
-            fresh = [own[i] for i in lacking]
+            fresh = [keys[i] for i in lacking]
             self._learn(fresh)
             places[lacking] = self.runs.places(fresh)
-        ids, sizes = self.runs.take(places[table.indices.to_numpy()])
-        upto = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.array(ends, np.int64)])]
-        return ids, np.diff(upto)
+        return places
 
-    def _keys(self, text: str) -> list[str]:
-        """What a text's ids are joined from: pieces, words behind a blank, or the text behind two."""
+    def _plain(self, text: str, odd: list[str]) -> bytes:
+        """The text in Latin-1 if it is plain, else its plain words, with ODD in place of others. These go to ``odd``, a word
+        behind a blank, the text behind two."""
         if self.by_piece and PLAIN_TEXT(text) and not self.holds_added(text):
-            return PLAIN_PIECES(text.lower())
+            return text.encode("latin-1")
         # str.split parts at four control characters that the tokenizers' \s leaves alone.
         if not self.by_word or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return [f"  {text}"]
-        keys: list[str] = []
+            odd.append(f"  {text}")
+            return ODD
+        words = []
         for w in text.split():
             if self.by_piece and PLAIN_TEXT(w) and not self.holds_added(w):
-                keys += PLAIN_PIECES(w.lower())
+                words.append(w.encode("latin-1"))
             else:
-                keys.append(f" {w}")
-        return keys
+                odd.append(f" {w}")
+                words.append(ODD)
+        return b" ".join(words)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, keys: list[str]) -> None:
+    def _learn(self, keys: list[bytes] | list[str]) -> None:
         tokenize, letters = self.model.tokenize, self.letters
-        plain = [k for k in keys if k[0] != " "]
+        plain = [k for k in keys if isinstance(k, bytes)]
         ids: list[int] = []
         ends = []
         for p in plain:
-            ids += [t.id for t in tokenize(p if p.isascii() else "".join([letters[b] for b in p.encode()]))]
+            ids += [t.id for t in tokenize(p.decode() if p.isascii() else "".join([letters[b] for b in p.decode("latin-1").encode()]))]
             ends.append(len(ids))
         self.runs.add(plain, np.diff(np.array(ends, np.int64), prepend=0), np.array(ids, np.uint32))
-        odd = [k for k in keys if k[0] == " " and k[:2] != "  " and MARK not in k]
+        odd = [k for k in keys if isinstance(k, str) and k[:2] != "  " and MARK not in k]
         for i in range(0, len(odd), 4096):
             self._learn_odd(odd[i : i + 4096])
-        self._learn_whole([k for k in keys if k[0] == " " and (k[:2] == "  " or MARK in k)])
+        self._learn_whole([k for k in keys if isinstance(k, str) and (k[:2] == "  " or MARK in k)])
 
     def _learn_odd(self, keys: list[str]) -> None:
         """Words of any letters, encoded as one text with a mark between them that none of them holds."""

@@ -1,4 +1,5 @@
 import random
+import re
 import struct
 import zlib
 
@@ -166,6 +167,26 @@ def test_encoder_equals_library():
             assert ids.tolist() == [x for w in want for x in w]
 
 
+def test_pieces_are_found_in_whole_batches():
+    """The pieces of many plain texts at once, from their bytes, are those of the pattern text by text."""
+    pattern = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\\[-`{-~]+")
+    rng = random.Random(11)
+    some = ["".join(rng.choice("''''stmdrevelabZÄéßÿ0 7.,_\t\n") for _ in range(rng.randint(0, 12))) for _ in range(20_000)]
+    some += ["", "'", "''", "'l", "'ll", "'r", "'re", "x'", "IT'S'S", "''s", "'very", "'lll", "ÀÖØÞ"]
+    assert all(map(repair.PLAIN_TEXT, some))
+    want = [p.encode("latin-1") for t in some for p in [*pattern.findall(t.lower()), "\x00"]]
+    assert repair.plain_pieces(b"".join(t.encode("latin-1") + repair.END for t in some)).to_pylist() == want
+
+
+def test_encoder_parts_texts_at_their_ends_alone():
+    library, encoder = Tokenizer.from_file(WORDS), repair.Encoder(WORDS)
+    some = ["a\x00b c", "\x00", "", "\x01", "plain words", "日本 \x01 plain 'll\x1cx", "", "\x00\x01 don't É́"]
+    for own in (some, ["", ""], ["\x01 日本"], []):
+        ids, sizes = encoder.encode(own, 1)
+        want = [library.encode(t, add_special_tokens=False).ids + [1] for t in own]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+
+
 def test_encoder_without_the_known_steps():
     library, encoder = Tokenizer.from_file(WORDS), repair.Encoder(WORDS)
     encoder.by_piece = encoder.by_word = False
